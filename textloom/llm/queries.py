@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import p3_pairs, p4_conversations, p5_pieces
+from textloom.llm import p3_pairs, p4_conversations, p5_pieces, p7_containers, p8_leaks, p9_residue
 
 QUERIES = {
     "p3_found": p3_pairs.p3_found,
@@ -10,5 +10,11 @@ QUERIES = {
     "p4_conversations": p4_conversations.p4_conversations,
     "p5_found": p5_pieces.p5_found,
     "p5_pieces": p5_pieces.p5_pieces,
+    "p7_found": p7_containers.p7_found,
+    "p7_containers": p7_containers.p7_containers,
+    "p8_found": p8_leaks.p8_found,
+    "p8_leaks": p8_leaks.p8_leaks,
+    "p9_found": p9_residue.p9_found,
+    "p9_residue": p9_residue.p9_residue,
 }
 ORACLE = p4_conversations.ORACLE | p5_pieces.ORACLE
