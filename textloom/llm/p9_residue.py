@@ -11,6 +11,7 @@ inside a sentence labels its document, but does not spread: the sentence around
 from __future__ import annotations
 
 import re
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.common import broadcast_if_small, map_batches, materialize, read, words
+from textloom.common import ASCII_WORDS, broadcast_if_small, map_batches, materialize, read, words
 
 DISTANCE, BLOCKS, BLOCK_BITS = 3, 4, 16
 SHINGLE, SIMILARITY = 5, 0.8
@@ -75,7 +76,7 @@ ANCHORS = (
     "{0", "{1", "{2", "{3", "{4", "{5", "{6", "{7", "{8", "{9", "[insert", "[enter", "[your", "[add", "[author", "[title", "[name", "[first", "[last", "[date", "[venue", "[abstract", "[citation", "[reference", "[affiliation", "[e-mail", "[email", "[company", "[fill", "[ ",
     "(add", "(insert", "(enter", "(fill", "( ", "<your", "<insert", "<enter", "<add", "<author", "<title", "<name", "<date", "<venue", "<abstract", "<keyword", "< ",
     "javascript", "scripts", "scripting", "cookies", "script-capable", "browser", "not load", "turn them", "turn it", "turn on", "turned off",
-    "your session", "session a", "not found", "be found", "not exist", "withdrawn", "not available", "longer available", "unavailable", "been moved", "been removed", "been deleted", "denied", "gateway", "server returned", "server error", "server is", "service is", "site is", "archive is", "forbidden", "unauthori", "too many requests", "slow down", "again later", "again in", "again to", "sign in", "log in", "refresh the", "reload the", "not load", "to load", "cannot load", "not display", "to display", "not open", "to open", "not retrieve", "to retrieve", "not respond", "a person", "human", "not a robot", "the puzzle",
+    "your session", "session a", "not found", "be found", "not exist", "withdrawn", "not available", "longer available", "unavailable", "been moved", "been removed", "been deleted", "denied", "gateway", "server returned", "server error", "server is", "service is", "site is", "archive is", "forbidden", "unauthori", "too many requests", "slow down", "again later", "again in", "again to", "sign in", "log in", "refresh the", "reload the", "not load", "to load", "cannot load", "not display", "to display", "not open", "to open", "not retrieve", "to retrieve", "not respond", "a person", "are human", "a human", "not a robot", "the puzzle",
     "conversion failed", "text layer", "traceback", 'file "', "error:", "error 4", "error 5", "fehler 4", "fehler 5", "erreur 4", "erreur 5", "http 4", "http 5", "status 4", "status 5", "exception:", ".java:", ".py:", ".js:", "request id", "verweigert", "gefunden", "gelöscht", "melden sie", "abgelaufen", "introuvable", "refusé", "expiré", "encontrada", "denegado", "vuelva", "caducado", "页面", "拒绝", "服务器", "删除",
 )
 #: Forms in capitals between percent, dollar or angle signs, and names in braces.
@@ -83,7 +84,9 @@ _LOOSE = re.compile(r"\$[A-Z][A-Z_]{2}|%[A-Z][A-Z_]{2}|\{[a-z_]+_[a-z_]+\}|<[A-Z
 # --- fixed values: sentences that write about such strings ---------------------------------------------
 MENTION = re.compile(r"\b(?:with the slots?|slots? (?:named|called)|the strings? |stands? for|such as|error messages?|counts? as|similar leftovers|were removed from|are replaced (?:by|with)|reply of|log lines?|received the sentence|placeholders? (?:such|like|of))\b", re.I)
 _QUOTED = re.compile(r"\"[^\"\n]{1,300}\"|“[^”]{1,300}”|«[^»]{1,300}»|`[^`]{1,300}`|„[^“”]{1,300}[“”]|「[^」]{1,300}」")
-_SPLIT = re.compile(r"\n+|(?<=[.!?])\s+|(?<=[。！？])\s*")
+_STOP, _FULL_STOP = re.compile(r"([.!?])\s+"), re.compile(r"([。！？])\s*")
+#: For ASCII: letters in lower case and line ends stay, digits become 0, the rest a blank.
+_MASK = ASCII_WORDS | {ord("\n"): "\n"} | {ord(c): "0" for c in "123456789"}
 _DIGITS = re.compile(r"\d+")
 
 _machine: ahocorasick.Automaton | None = None
@@ -99,8 +102,14 @@ def _anchored(text: str) -> bool:
     return next(_machine.iter(text.lower()), None) is not None or (("$" in text or "%" in text or "{" in text or "<" in text) and _LOOSE.search(text) is not None)
 
 
+def one_a_line(text: str) -> str:
+    """The text with each sentence on a line of its own."""
+    text = _STOP.sub(r"\1\n", text)
+    return text if text.isascii() else _FULL_STOP.sub(r"\1\n", text)
+
+
 def sentences(text: str) -> list[str]:
-    return [s for x in _SPLIT.split(text) if (s := x.strip())]
+    return [s for x in one_a_line(text).split("\n") if (s := x.strip())]
 
 
 def residue(sentence: str) -> tuple[str, bool] | None:
@@ -125,9 +134,22 @@ def residue(sentence: str) -> tuple[str, bool] | None:
     return None
 
 
-def masked(sentence: str) -> list[str]:
-    """The words of a sentence with every run of digits as 0."""
-    return words(_DIGITS.sub("0", sentence))
+def masked(lines: str) -> list[list[str]]:
+    """For each line, its words in lower case with every run of digits as 0."""
+    if lines.isascii():
+        lines = lines.translate(_MASK)
+        while "00" in lines:
+            lines = lines.replace("00", "0")
+        return [x.split() for x in lines.split("\n")]
+    return [words(x) for x in _DIGITS.sub("0", lines).split("\n")]
+
+
+class _Codes(dict):
+    """Word -> its 64-bit hash, made on first use."""
+
+    def __missing__(self, word: str) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word)
+        return h
 
 
 #: Byte -> its eight bits, one in each byte of a 64-bit word: sums of up to 255 add without carry.
@@ -136,15 +158,9 @@ _SPREAD_BITS = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None]
 
 def simhashes(texts: list[list[str]]) -> np.ndarray:
     """64-bit SimHash of each list of words, over its pairs of neighbours and its first word."""
-    known: dict[str, int] = {}
-    counts, codes = [], []
-    for ws in texts:
-        counts.append(max(1, len(ws)))
-        for w in ws or [""]:
-            h = known.get(w)
-            if h is None:
-                h = known[w] = xxhash.xxh64_intdigest(w)
-            codes.append(h)
+    texts = [ws or [""] for ws in texts]
+    counts = [len(ws) for ws in texts]
+    codes = list(map(_Codes().__getitem__, chain.from_iterable(texts)))
     if not codes:
         return np.empty(0, dtype=np.int64)
     a = np.array(codes, dtype=np.uint64)
@@ -174,16 +190,17 @@ def simhashes(texts: list[list[str]]) -> np.ndarray:
 def _cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     ids, kinds, spread, texts = [], [], [], []
     for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-        suspect = _anchored(text)  # a text without anchors has no sentence with one
-        for s in sentences(text):
-            ws = masked(s)
-            found = residue(s) if suspect else None
-            if not ws and not found:
-                continue
-            ids.append(d)
-            kinds.append(found[0] if found else None)
-            spread.append(bool(found and found[1]))
-            texts.append(ws)
+        lines = one_a_line(text)
+        own = masked(lines)
+        # A text without anchors has no sentence with one.
+        raw = lines.split("\n") if _anchored(text) else None
+        for i, ws in enumerate(own):
+            found = residue(raw[i].strip()) if raw else None
+            if ws or found:
+                ids.append(d)
+                kinds.append(found[0] if found else None)
+                spread.append(bool(found and found[1]))
+                texts.append(ws)
     if not ids:
         return None
     return pa.RecordBatch.from_arrays(

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from textloom.llm import p3_pairs, p4_conversations, p5_pieces, p7_containers, p8_leaks, p9_residue
+from textloom.llm import p2_near, p3_pairs, p4_conversations, p5_pieces, p7_containers, p8_leaks, p9_residue
 
 QUERIES = {
+    "p2_found": p2_near.p2_found,
+    "p2_groups": p2_near.p2_groups,
     "p3_found": p3_pairs.p3_found,
     "p4_found": p4_conversations.p4_found,
     "p4_conversations": p4_conversations.p4_conversations,
@@ -17,4 +19,4 @@ QUERIES = {
     "p9_found": p9_residue.p9_found,
     "p9_residue": p9_residue.p9_residue,
 }
-ORACLE = p4_conversations.ORACLE | p5_pieces.ORACLE
+ORACLE = p2_near.ORACLE | p4_conversations.ORACLE | p5_pieces.ORACLE
