@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
+#: For ASCII: letters in lower case and digits stay, the rest becomes a blank.
+ASCII_WORDS = {i: (chr(i).lower() if chr(i).isalnum() else " ") for i in range(128)}
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -80,7 +82,7 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if text.isascii():
-        return _WORD.findall(text.lower())
+        return text.translate(ASCII_WORDS).split()
     return [w.lower() for w in _WORD.findall(text)]
 
 
