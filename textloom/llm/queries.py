@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textloom.llm import p2_near, p3_pairs, p4_conversations, p5_pieces, p7_containers, p8_leaks, p9_residue
+from textloom.llm import p2_near, p3_pairs, p4_conversations, p5_pieces, p6_neighbours, p7_containers, p8_leaks, p9_residue
 
 QUERIES = {
     "p2_found": p2_near.p2_found,
@@ -12,6 +12,8 @@ QUERIES = {
     "p4_conversations": p4_conversations.p4_conversations,
     "p5_found": p5_pieces.p5_found,
     "p5_pieces": p5_pieces.p5_pieces,
+    "p6_found": p6_neighbours.p6_found,
+    "p6_neighbours": p6_neighbours.p6_neighbours,
     "p7_found": p7_containers.p7_found,
     "p7_containers": p7_containers.p7_containers,
     "p8_found": p8_leaks.p8_found,
@@ -19,4 +21,4 @@ QUERIES = {
     "p9_found": p9_residue.p9_found,
     "p9_residue": p9_residue.p9_residue,
 }
-ORACLE = p2_near.ORACLE | p4_conversations.ORACLE | p5_pieces.ORACLE
+ORACLE = p2_near.ORACLE | p4_conversations.ORACLE | p5_pieces.ORACLE | p6_neighbours.ORACLE
