@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from textloom.llm import p2_near, p3_pairs, p4_conversations, p5_pieces, p6_neighbours, p7_containers, p8_leaks, p9_residue
+from textloom.llm import p1_scans, p2_near, p3_pairs, p4_conversations, p5_pieces, p6_neighbours, p7_containers, p8_leaks, p9_residue
 
 QUERIES = {
+    "p1_found": p1_scans.p1_found,
+    "p1_repaired": p1_scans.p1_repaired,
     "p2_found": p2_near.p2_found,
     "p2_groups": p2_near.p2_groups,
     "p3_found": p3_pairs.p3_found,
