@@ -101,3 +101,44 @@ def with_previous(df: DataFrame, group: str, order: list[str], carry: list[str])
         )
     )
     return out
+
+
+def with_ordinal(df: DataFrame, order: list[str], group: str | None = None, name: str = "_ord") -> DataFrame:
+    """``df`` with a dense ordinal from 0 by ``order``, over all rows or within each ``group``.
+
+    A range sort numbers the rows of each partition; a table of one row for each partition and
+    group reached in it gives the offsets. No group is gathered in one task. NULLs come first; end
+    ``order`` with a key, as ties are broken arbitrarily.
+    """
+    keys = ([group] if group else []) + order
+    src = range_sorted(df, keys)
+    at = src.columns.index(group) if group else None
+    schema = T.StructType([*src.schema.fields, T.StructField("_part", T.IntegerType()), T.StructField("_run", T.IntegerType()), T.StructField("_at", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held, no, pos = None, -1, 0
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            if at is None:
+                no = 0
+                runs, places = [0] * n, list(range(pos, pos + n))
+                pos += n
+            else:
+                runs, places = [], []
+                for g in batch.column(at).to_pylist():
+                    if no < 0 or g != held:
+                        held, no, pos = g, no + 1, 0
+                    runs.append(no)
+                    places.append(pos)
+                    pos += 1
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int32()), pa.array(runs, pa.int32()), pa.array(places, pa.int64())], schema.fieldNames())
+
+    rows = materialize(src.mapInArrow(run, schema), "ordinal")
+    by = [F.col(group)] if group else [F.lit(0)]
+    sizes = rows.groupBy("_part", "_run", *([group] if group else [])).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(*by).orderBy("_part", "_run").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", "_run", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    return rows.join(offsets, ["_part", "_run"]).withColumn(name, F.col("_at") + F.col("_before")).drop("_part", "_run", "_at", "_before")

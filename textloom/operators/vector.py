@@ -15,3 +15,10 @@ def cosine_distance(a: Column, b: Column) -> Column:
     """1 - cosine; NULL where a vector is NULL, of another length, or zero."""
     norm = F.sqrt(dot(a, a) * dot(b, b))
     return F.when(norm > 0, F.lit(1.0) - dot(a, b) / norm)
+
+
+def usable(vector: str, dim: int) -> Column:
+    """Whether a vector has ``dim`` finite numbers that are not all zero."""
+    v = F.col(vector)
+    fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return v.isNotNull() & (F.size(v) == dim) & fine & F.exists(v, lambda x: x != 0)
