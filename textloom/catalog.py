@@ -458,3 +458,36 @@ def ema_smooth(spark, sf_dir):
 @query("select doc_id, source, o as place from (select doc_id, source, row_number() over (order by doc_id) - 1 as o from documents) where o >= 4 and o < 6")
 def preview_page(spark, sf_dir):
     return with_ordinal(read(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"], name="place").where("place >= 4 and place < 6")
+
+
+# --- templates -----------------------------------------------------------------------------------------
+
+
+@query(f"""with {_PAIRS} select id, '<|im_start|>user' || chr(10) || coalesce(prompt, '') || '<|im_end|>' || chr(10) || '<|im_start|>assistant' || chr(10) as prompt_text, coalesce(reply, '') || '<|im_end|>' || chr(10) as response_text from pairs""")
+def render_chatml(spark, sf_dir):
+    from textloom.operators.templates import TEMPLATES, one_turn
+
+    rows = A.align_alpaca(_pairs(spark, sf_dir).select("id", F.col("prompt").alias("instruction"), F.coalesce("reply", F.lit("")).alias("output")), ["id"])
+    prompt, response = one_turn(TEMPLATES["chatml"], F.concat("_prompt", "_response"), F.col("_system"))
+    return rows.select("id", prompt.alias("prompt_text"), response.alias("response_text"))
+
+
+@query(f"""with {_PAIRS} select id, '<s>[INST] ' || coalesce(prompt, '') || '[/INST]' as prompt_text, ' ' || coalesce(reply, '') || '</s>' as response_text from pairs""")
+def render_mistral(spark, sf_dir):
+    from textloom.operators.templates import TEMPLATES, one_turn
+
+    rows = A.align_alpaca(_pairs(spark, sf_dir).select("id", F.col("prompt").alias("instruction"), F.coalesce("reply", F.lit("")).alias("output")), ["id"])
+    prompt, response = one_turn(TEMPLATES["mistral"], F.concat("_prompt", "_response"), F.col("_system"))
+    return rows.select("id", prompt.alias("prompt_text"), response.alias("response_text"))
+
+
+@query()
+def tool_round_trip(spark, sf_dir):
+    """Each format's calls, written from the event table's values and read back: rows that differ."""
+    from textloom.operators.tools import FORMATS, extractor
+
+    rows = read(spark, sf_dir, "events").select("event_id", "event_type", F.to_json(F.struct("user_id", "value")).alias("args"))
+    text = F.concat(F.lit('<tool_call>\n{"name": "'), "event_type", F.lit('", "arguments": '), "args", F.lit("}\n</tool_call>"))
+    assert "qwen" in FORMATS
+    got = rows.withColumn("calls", extractor("qwen")(text))
+    return got.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.get("calls", F.lit(0))["name"] == F.col("event_type")).alias("read_back"))
