@@ -84,9 +84,13 @@ def skeleton(word: str) -> str:
 
 def derivable(right: str, seen: str) -> bool:
     """Whether ``seen`` comes from ``right`` by one or more of CONFUSIONS."""
-    stack = [(0, 0, False)]
+    stack, seen_states = [(0, 0, False)], set()
     while stack:
-        i, j, changed = stack.pop()
+        state = stack.pop()
+        if state in seen_states:
+            continue
+        seen_states.add(state)
+        i, j, changed = state
         if i == len(right) and j == len(seen):
             if changed:
                 return True

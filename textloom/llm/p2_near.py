@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.common import broadcast_if_small, map_batches, materialize, read, words
+from textloom.common import broadcast_if_small, map_batches, materialize, one_row_per, read, words
 
 SHINGLE, SIMILARITY = 3, 0.5
 COORDINATES, MATCHES = 48, 17
@@ -199,8 +199,8 @@ def near_pairs(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     NULL ids and texts of under three words have no similarity and are left out; repeated rows
     count once; no rows give no rows.
     """
-    rows = df.select("chunk_id", "chunk_text").where("chunk_id is not null and chunk_text is not null")
-    members = materialize(map_batches(rows, _members, "chunk_id string, doc long"), "members").distinct()
+    rows = materialize(one_row_per(df.where("chunk_text is not null"), "chunk_id", ["chunk_text"]), "rows")
+    members = materialize(map_batches(rows, _members, "chunk_id string, doc long"), "members")
     classes = map_batches(rows, _sign, "doc long, sig binary").groupBy("doc").agg(F.min("sig").alias("sig"))
     pairs = materialize(similar_texts(materialize(classes, "classes")), "candidates")
     # The texts of the candidates only, by one chunk of each class.

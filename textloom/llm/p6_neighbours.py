@@ -50,7 +50,7 @@ def _unit(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def unit_vectors(vectors: DataFrame) -> DataFrame:
-    """(key, h, vec): float32 bytes of the unit vectors, and their 64-bit hash."""
+    """(key, h, vec), one row per key: float32 bytes of its unit vector, and their 64-bit hash."""
 
     def run(batches):
         for batch in batches:
@@ -58,7 +58,8 @@ def unit_vectors(vectors: DataFrame) -> DataFrame:
                 x = _unit(batch)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["key", "vec"])
 
-    return vectors.mapInArrow(run, "key string, vec binary").select("key", F.xxhash64("vec").alias("h"), "vec")
+    one = vectors.mapInArrow(run, "key string, vec binary").groupBy("key").agg(F.min("vec").alias("vec"))
+    return one.select("key", F.xxhash64("vec").alias("h"), "vec")
 
 
 def fit_centroids(reps: DataFrame, n: int) -> np.ndarray:
