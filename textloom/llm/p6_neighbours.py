@@ -23,7 +23,7 @@ DIM, K, SIMILARITY = 64, 10, 0.95
 #: The centroids are fitted on at most SAMPLE vectors; every vector is indexed. A shard aims at
 #: TARGET vectors and holds at most MOST.
 SAMPLE, TARGET, MOST = 16384, 4096, 12288
-PROBES, BEAM = 2, 20
+PROBES, BEAM = 3, 20
 #: For the k nearest at any similarity, which are far apart: more shards and a wider beam.
 WIDE_PROBES, WIDE_BEAM = 8, 128
 EVERY = 20
