@@ -96,6 +96,13 @@ def test_mixing_golden(spark):
     assert MX.resample(spark.range(10), "id", 25, 1).count() == 25 and MX.resample(spark.range(10), "id", 4, 1).count() == 4
 
 
+def test_drawn_order_follows_weights(spark):
+    df = spark.createDataFrame([(s, f"{s}{i:03}") for s in "AB" for i in range(300)], "s string, k string")
+    rows = MX.interleave_drawn(MX.numbered(df, "s", ["k"]), {"A": 3.0, "B": 1.0}, "s", 42).orderBy("pos").collect()
+    assert len({r["k"] for r in rows}) == 600
+    assert 60 <= sum(r["s"] == "A" for r in rows[:100]) <= 90
+
+
 def test_alignment(spark):
     df = spark.createDataFrame([("i", "", "o", [["q", "a"]]), ("i", "x", None, None)], "instruction string, input string, output string, history array<array<string>>")
     a, b = A.align_alpaca(df).collect()
