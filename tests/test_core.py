@@ -134,6 +134,16 @@ def test_encoding_golden(spark):
     assert got == [0, 0, 1, 2, 3]
 
 
+def test_kto_and_typed_dialogues(spark):
+    df = spark.createDataFrame([([1, 2], [[3], []], [[], [9]]), ([1], [[], [4, 5]], [[7], []])], "p array<int>, r array<array<int>>, k array<array<int>>")
+    a, b = E.kto(df, "p", "r", "k", 8).collect()
+    assert (a["input_ids"], a["labels"], a["kl_input_ids"], a["kto_tags"]) == ([1, 2, 3], [-100, -100, 3], [1, 2, 9], True)
+    assert (b["input_ids"], b["kl_labels"], b["kto_tags"]) == ([1, 4, 5], [-100, 7], False)
+    df = spark.createDataFrame([([("human", "q"), ("odd", "x"), ("function_call", "{}"), ("gpt", "a")],), (None,)], "conversations array<struct<from:string,value:string>>")
+    r = A.v1_sharegpt(df).collect()
+    assert [(m["role"], m["content"][0]["type"], m["loss_weight"]) for m in r[0]["messages"]] == [("user", "text", 0.0), ("assistant", "tool_call", 1.0), ("assistant", "text", 1.0)] and r[1]["messages"] == []
+
+
 def test_packing_places_every_row(spark):
     rng = random.Random(1)
     rows = [(i, i, [1] * rng.randint(1, 40)) for i in range(60)]

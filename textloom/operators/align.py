@@ -125,3 +125,21 @@ def register_converter(name: str, fn: Callable[..., DataFrame]) -> None:
 def valid(stage: str) -> Column:
     odd = F.size("_prompt") % 2 == 1
     return {"sft": odd & (F.size("_response") == 1), "rm": odd & (F.size("_response") >= 2), "kto": odd & (F.size("_response") >= 2), "generate": odd}[stage]
+
+
+def v1_sharegpt(df: DataFrame, keep: list[str] = (), column: str = "conversations") -> DataFrame:
+    """Typed messages of a dialogue; unknown tags are skipped and nothing is checked. Only answers
+    (assistant and function) have weight 1."""
+    msgs = F.filter(turns(F.col(column)), lambda m: m["role"].isNotNull())
+    typed = F.transform(
+        msgs,
+        lambda m: F.struct(
+            F.when(m["role"] == "function", "assistant").when(m["role"] == "observation", "tool").otherwise(m["role"]).alias("role"),
+            F.array(F.struct(F.when(m["role"] == "function", "tool_call").otherwise("text").alias("type"), m["content"].alias("value"))).alias("content"),
+            F.when(m["role"].isin("assistant", "function"), 1.0).otherwise(0.0).alias("loss_weight"),
+        ),
+    )
+    return df.select(*keep, typed.alias("messages"))
+
+
+CONVERTERS["v1_sharegpt"] = v1_sharegpt

@@ -157,3 +157,18 @@ def dynamic_batches(df: DataFrame, shard: str, order: str, length: str, budget:
 
     kinds = dict(src.dtypes)
     return src.mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in cols) + ", batch int")
+
+
+def kto(df: DataFrame, prompt: str, response: str, kl_response: str, cutoff: int) -> DataFrame:
+    """``df`` with input_ids, labels, kl_input_ids, kl_labels and kto_tags.
+
+    ``response`` and ``kl_response`` are arrays of two token arrays (desirable, undesirable), of
+    which one is empty; the tag says whether the first is not. The mismatched pair takes the first
+    of its two that is not empty and is cut on its own.
+    """
+    tag = F.size(F.col(response)[0]) > 0
+    own = F.when(tag, F.col(response)[0]).otherwise(F.col(response)[1])
+    other = F.when(F.size(F.col(kl_response)[0]) > 0, F.col(kl_response)[0]).otherwise(F.col(kl_response)[1])
+    ids, _, labels = sft(F.col(prompt), own, cutoff)
+    kl_ids, _, kl_labels = sft(F.col(prompt), other, cutoff)
+    return df.select("*", ids.alias("input_ids"), labels.alias("labels"), kl_ids.alias("kl_input_ids"), kl_labels.alias("kl_labels"), tag.alias("kto_tags"))
