@@ -66,7 +66,7 @@ def fit_centroids(reps: DataFrame, n: int) -> np.ndarray:
     """Spherical k-means on a bounded sample (by hash, the same at every run)."""
     k = max(1, -(-n // TARGET))
     every = max(1, n // SAMPLE)
-    rows = reps.where(F.pmod("h", F.lit(every)) == 0).select("vec").limit(2 * SAMPLE).collect()
+    rows = reps.where(F.pmod("h", F.lit(every)) == 0).orderBy("h").limit(2 * SAMPLE).select("vec").collect()
     x = np.frombuffer(b"".join(bytes(r["vec"]) for r in rows), dtype=np.float32).reshape(-1, DIM)
     if not len(x):
         return np.eye(1, DIM, dtype=np.float32)
