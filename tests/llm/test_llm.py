@@ -337,3 +337,27 @@ def test_p9_spreads_and_edges(spark):
     assert P9.residue_sentences(df.limit(0)).count() == 0
     a, b = P9.simhashes([["a"] * 700, "a b c d".split()])
     assert a != b and P9.simhashes([[]]).shape == (1,)
+
+
+def test_p9_edited_copies_at_the_similarity_are_all_found(spark):
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("bdfgklmnprstv", k=3)) + "a" + str(rng.choice("aeiou")) for _ in range(4000)]
+
+    def shingles(ws):
+        return {tuple(ws[i : i + 5]) for i in range(max(1, len(ws) - 4))}
+
+    docs, want = [], set()
+    for i in range(120):
+        n = (15, 25, 40, 60, 100)[i % 5]
+        body = rng.choices(vocabulary, k=n)
+        residue = ["page", "not", "found", *body]
+        # The copy loses what the dictionary knows, or changes a word further on.
+        copy = body if i % 2 else body[: n // 2] + ["zzz"] + body[n // 2 + 1 :]
+        docs += [(2 * i, " ".join(residue)), (2 * i + 1, " ".join(copy))]
+        want.add(2 * i)
+        a, b = shingles(residue), shingles(copy)
+        if len(a & b) >= 0.8 * len(a | b):
+            want.add(2 * i + 1)
+    assert sum(d % 2 for d in want) > 50
+    got = {r["doc_id"] for r in P9.residue_sentences(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want

@@ -3,9 +3,12 @@
 Method: documents are cut into sentences; each gets a 64-bit SimHash of its words with digits
 masked. Sentences that a dictionary of residue forms covers carry a trusted label. Near-duplicates
 of labelled sentences are found through SimHash tables partitioned into blocks of bits (two
-hashes within ``DISTANCE`` bits agree in one of DISTANCE + 1 blocks), verified by Hamming distance
-and by text similarity, and labels spread through the connected components they form. A placeholder
-inside a sentence labels its document, but does not spread: the sentence around it is content.
+hashes within ``DISTANCE`` bits agree in one of DISTANCE + 1 blocks) and, as texts of the required
+similarity often lie further apart than that, through the prefixes of their hashed shingles: of two
+sets with a Jaccard similarity of ``SIMILARITY`` or more, the n - ceil(SIMILARITY * n) + 1 least of
+each have one in common, so no such pair is missed. Pairs are verified by text similarity, and
+labels spread through the connected components they form. A placeholder inside a sentence labels its
+document, but does not spread: the sentence around it is content.
 """
 
 from __future__ import annotations
@@ -156,15 +159,46 @@ class _Codes(dict):
 _SPREAD_BITS = np.packbits(np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")[:, :, None].repeat(8, axis=2) & np.array([1] + [0] * 7, dtype=np.uint8), axis=2, bitorder="little").reshape(256, 8).copy().view(np.uint64).ravel()
 
 
-def simhashes(texts: list[list[str]]) -> np.ndarray:
-    """64-bit SimHash of each list of words, over its pairs of neighbours and its first word."""
+def word_codes(texts: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words, and how many each text has (an empty one has one empty word)."""
     texts = [ws or [""] for ws in texts]
-    counts = [len(ws) for ws in texts]
     codes = list(map(_Codes().__getitem__, chain.from_iterable(texts)))
-    if not codes:
+    return np.array(codes, dtype=np.uint64), np.array([len(ws) for ws in texts], dtype=np.int64)
+
+
+def shingle_prefixes(a: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, how many of them each text has, distinct shingles of each text): the least 32-bit hashes
+    of each text's shingles, as many as make texts of SIMILARITY or more share one."""
+    if not len(n):
+        return np.empty(0, dtype=np.int32), n, n
+    starts = np.cumsum(n) - n
+    with np.errstate(over="ignore"):
+        # A shingle's words add up by place; a text shorter than a shingle has its own words only.
+        rows = np.maximum(n - (SHINGLE - 1), 1)
+        owner = np.repeat(np.arange(len(n)), rows)
+        at = starts[owner] + np.arange(len(owner)) - (np.cumsum(rows) - rows)[owner]
+        h = np.zeros(len(owner), dtype=np.uint64)
+        for i in range(SHINGLE):
+            inside = i < n[owner]
+            h = h * np.uint64(0x9E3779B97F4A7C15) + np.where(inside, a[np.minimum(at + i, len(a) - 1)], np.uint64(0))
+            h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        both = np.unique((owner.astype(np.uint64) << np.uint64(32)) | (h >> np.uint64(32)))
+    owner = (both >> np.uint64(32)).astype(np.int64)
+    distinct = np.bincount(owner, minlength=len(n))
+    take = distinct - np.ceil(SIMILARITY * distinct - 1e-9).astype(np.int64) + 1
+    keep = np.arange(len(both)) - (np.cumsum(distinct) - distinct)[owner] < take[owner]
+    return (both[keep] & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32), take, distinct
+
+
+def simhashes(texts: list[list[str]]) -> np.ndarray:
+    """64-bit SimHash of each list of words, over its pairs of neighbours and its first word."""
+    return _simhashes(*word_codes(texts))
+
+
+def _simhashes(a: np.ndarray, n: np.ndarray) -> np.ndarray:
+    if not len(a):
         return np.empty(0, dtype=np.int64)
-    a = np.array(codes, dtype=np.uint64)
-    n = np.array(counts)
     starts = np.cumsum(n) - n
     with np.errstate(over="ignore"):
         b = a * np.uint64(0x9E3779B97F4A7C15) + np.concatenate([[np.uint64(0)], a[:-1]])
@@ -203,14 +237,19 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
                 texts.append(ws)
     if not ids:
         return None
+    codes = word_codes(texts)
+    keys, many, shingles = shingle_prefixes(*codes)
+    keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(keys))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(spread, pa.bool_()), pa.array(simhashes(texts), pa.int64()), pa.array([" ".join(t) for t in texts], pa.string())],
-        ["doc_id", "kind", "spread", "sim", "text"],
+        [pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(spread, pa.bool_()), pa.array(_simhashes(*codes), pa.int64()), keys, pa.array(shingles, pa.int32()), pa.array([" ".join(t) for t in texts], pa.string())],
+        ["doc_id", "kind", "spread", "sim", "keys", "shingles", "text"],
     )
 
 
-def _blocks(sim: str) -> list:
-    return [F.shiftrightunsigned(F.col(sim), BLOCK_BITS * i).bitwiseAND((1 << BLOCK_BITS) - 1) + F.lit(i << BLOCK_BITS) for i in range(BLOCKS)]
+def _tables(sim: str, keys: str):
+    """What two near texts have in common: a block of bits with its place, or a shingle of the prefixes (above 32 bits)."""
+    blocks = [F.shiftrightunsigned(F.col(sim), BLOCK_BITS * i).bitwiseAND((1 << BLOCK_BITS) - 1) + F.lit(i << BLOCK_BITS) for i in range(BLOCKS)]
+    return F.concat(F.array(*blocks), F.transform(F.col(keys), lambda k: k.cast("long") + F.lit(1 << 40)))
 
 
 def _shingles(text):
@@ -226,23 +265,26 @@ def residue_sentences(docs: DataFrame) -> DataFrame:
     table gives an empty result.
     """
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    cut = materialize(map_batches(rows, _cut, "doc_id long, kind string, spread boolean, sim long, text string"), "sentences")
+    cut = materialize(map_batches(rows, _cut, "doc_id long, kind string, spread boolean, sim long, keys array<int>, shingles int, text string"), "sentences")
     out = cut.where("kind is not null").select("doc_id", "kind").distinct()
-    trusted = cut.where("spread").groupBy("text").agg(F.min("sim").alias("sim"), F.min("kind").alias("kind"))
+    same = [F.first(c).alias(c) for c in ("sim", "keys", "shingles")]  # the same for equal texts
+    trusted = cut.where("spread").groupBy("text").agg(*same, F.min("kind").alias("kind"))
     frontier = materialize(trusted, "trusted")
     done = frontier.select("text")
-    others = cut.where("kind is null").select("sim", "text", F.explode(F.array(*_blocks("sim"))).alias("block"))
+    others = cut.where("kind is null").select("sim", "keys", "shingles", "text", F.explode(_tables("sim", "keys")).alias("table"))
     while not frontier.isEmpty():
-        near = frontier.select(F.col("sim").alias("f_sim"), F.col("text").alias("f_text"), "kind", F.explode(F.array(*_blocks("sim"))).alias("block"))
+        near = frontier.select(F.col("sim").alias("f_sim"), F.col("shingles").alias("f_shingles"), F.col("text").alias("f_text"), "kind", F.explode(_tables("sim", "keys")).alias("table"))
+        close = F.bit_count(F.col("sim").bitwiseXOR(F.col("f_sim"))) <= DISTANCE
+        sized = F.least("shingles", "f_shingles") >= SIMILARITY * F.greatest("shingles", "f_shingles") - 1e-9
         hits = (
-            others.join(broadcast_if_small(near, BLOCKS * FRONTIER_ROWS), "block")
-            .where(F.bit_count(F.col("sim").bitwiseXOR(F.col("f_sim"))) <= DISTANCE)
-            .groupBy("text", "sim", "f_text").agg(F.min("kind").alias("kind"))
+            others.join(broadcast_if_small(near, BLOCKS * FRONTIER_ROWS), "table")
+            .where(sized & ((F.col("table") >= 1 << 32) | close))
+            .groupBy("text", "f_text").agg(*same, F.min("kind").alias("kind"))
         )
         a, b = _shingles(F.col("text")), _shingles(F.col("f_text"))
         both = F.size(F.array_intersect(a, b))
         hits = hits.where(both >= SIMILARITY * (F.size(a) + F.size(b) - both))
-        new = materialize(hits.groupBy("text").agg(F.min("sim").alias("sim"), F.min("kind").alias("kind")).join(done, "text", "left_anti"), "labelled")
+        new = materialize(hits.groupBy("text").agg(*same, F.min("kind").alias("kind")).join(done, "text", "left_anti"), "labelled")
         if new.isEmpty():
             break
         out = out.unionByName(cut.where("kind is null").select("doc_id", "text").join(broadcast_if_small(new.select("text", "kind"), FRONTIER_ROWS), "text").select("doc_id", "kind"))
