@@ -65,6 +65,14 @@ def test_p1_kinds_and_repair(spark):
     assert P1.noise_kinds(df.limit(0)).count() == 0
 
 
+def test_p1_recurrent_misreadings_are_no_words(spark):
+    clean = [(f"c{i}", "every reward stays while the scarce data is new") for i in range(100)]
+    hurt = [(f"h{i}", "evcry rewɑrd stay5 whi|e the scarce data is new") for i in range(6)]
+    df = spark.createDataFrame(clean + hurt, "chunk_id string, chunk_text string")
+    assert {tuple(r) for r in P1.noise_kinds(df).collect()} == {(k, "misread") for k, _ in hurt}
+    assert {r["chunk_text"] for r in P1.repaired(df).collect()} == {clean[0][1]}
+
+
 def test_p1_derivable():
     assert P1.derivable("planner", "p1anner") and P1.derivable("remains", "remams") and not P1.derivable("train", "tiarn") and not P1.derivable("same", "same")
 

@@ -146,12 +146,20 @@ class Lexicon:
                 if p < NUMBER_SHARE * n and w.islower():
                     self.rare_after.add(w)
         count = {w: n for w, _, n, _, _ in rows}
-        # A form that is itself frequent, but a misreading of one far more frequent, is none.
         for forms in self.by_skeleton.values():
             forms.sort(reverse=True)
-            for n, w in forms[1:]:
-                if any(m >= TIMES * n and derivable(v, w) for m, v in forms if m > n):
-                    self.words.discard(w)
+        # A form of the dictionary that is a misreading of one far more frequent is none. A word with
+        # a capital may be a name; it is a misreading where it is one without the capital.
+        misread: set[str] = set()
+        for capital in (False, True):
+            for w, s, n, *_ in rows:
+                low = w.lower()
+                if len(w) > 2 and capital == (w.isalpha() and w.isascii() and w != low) and (low in misread if capital else low == w or low not in count):
+                    if any(m >= TIMES * n and v != low and derivable(v, low) for m, v in self.by_skeleton.get(s, ())):
+                        misread.add(w)
+        self.words -= misread
+        self.misread = misread
+        for forms in self.by_skeleton.values():
             forms[:] = [(n, w) for n, w in forms if w in self.words]
         self.count = count
         self.unclear = {s for s, forms in self.by_skeleton.items() if len(forms) > 1}
@@ -375,7 +383,7 @@ class Repair:
                 if lex.context and part.translate(SKELETON) in lex.unclear:
                     before = (re.findall(rf"(\S+)\s+{re.escape(part)}", plain) or [""])[0]
                 right = lex.right(part, before) or (lex.right(part.rstrip("!|+"), before) if len(part) > 4 else None)
-                if right and not (part.isalpha() and part.isascii() and part[0].isupper() and lex.count.get(part, 0) >= LEAST):
+                if right and not (part.isalpha() and part.isascii() and part[0].isupper() and lex.count.get(part, 0) >= LEAST and part not in lex.misread):
                     swaps[part] = right.capitalize() if part[0].isupper() else right
         if not swaps:
             return body
