@@ -73,6 +73,20 @@ def test_p1_recurrent_misreadings_are_no_words(spark):
     assert {r["chunk_text"] for r in P1.repaired(df).collect()} == {clean[0][1]}
 
 
+def test_p1_learned_headers_of_damaged_texts(spark):
+    clean = [(f"c{i}", CLEAN) for i in range(60)]
+    # An unlisted header, mid-sentence with hyphenation beside it or inside its word, or after a full stop.
+    hurt = [(f"m{i}", f"Human jud-\nges preferred the discrete\n\nStudies of Remote Libraries {i}\n\nchunker when the corpus is small.") for i in range(3)]
+    hurt += [("w", "Human judges preferred the discrete chun-\n\nStudies of Remote Libraries 7\n\nker when the corpus is small.")]
+    stop = ("s", CLEAN + "\n\nStudies of Remote Libraries 8\n\n" + CLEAN)
+    df = spark.createDataFrame([*clean, *hurt, stop, ("other", CLEAN + "\n\nSections of Another Report 8\n\n" + CLEAN)], "chunk_id string, chunk_text string")
+    got = {tuple(r) for r in P1.noise_kinds(df).collect()}
+    assert got == {(k, n) for k, _ in hurt for n in ("header", "hyphenation")} | {("s", "header")}
+    out = {r["chunk_id"]: r["chunk_text"] for r in P1.repaired(df).collect()}
+    assert {out[k] for k, _ in hurt} == {"Human judges preferred the discrete chunker when the corpus is small."}
+    assert "Libraries" not in out["s"]
+
+
 def test_p1_derivable():
     assert P1.derivable("planner", "p1anner") and P1.derivable("remains", "remams") and not P1.derivable("train", "tiarn") and not P1.derivable("same", "same")
 

@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textloom.common import map_batches, materialize, one_row_per, read
+from textloom.common import broadcast_if_small, map_batches, materialize, one_row_per, read
 
 SHARE, LEAST = 5e-6, 5
 #: A form is frequent against a misreading that it is this many times as common as.
 TIMES = 8
 #: A masked line is a learned header when this many chunks have it between their words.
 RECURS = 3
+#: Chunks with learned headers whose line numbers may be broadcast.
+HEADER_ROWS = 50_000
 #: A number is out of place between words that stand beside a number more rarely than this.
 NUMBER_SHARE, NUMBER_SEEN = 0.003, 40
 
@@ -218,24 +220,21 @@ def _prose(line: str, least: int = 3) -> bool:
 class Repair:
     """The damage of one text, and its lines without it."""
 
-    def __init__(self, text: str, lex: Lexicon):
+    def __init__(self, text: str, lex: Lexicon, heads: list[int] | None = None):
         self.noise: set[str] = set()
         self.lex = lex
         lines = text.replace("\r\n", "\n").split("\n")
         kinds = [self._kind(x) for x in lines]
-        self.masks: list[str | None] = [None] * len(lines)
+        for i in heads or ():  # learned headers
+            kinds[i] = "header"
         self._between(lines, kinds)
-        kept: list[tuple[str, str | None]] = [(x, m) for x, k, m in zip(lines, kinds, self.masks, strict=True) if k == "text"]
-        self.masks = [m for _, m in kept]
-        body = "\n".join(x for x, _ in kept)
+        body = "\n".join(x for x, k in zip(lines, kinds, strict=True) if k == "text")
         body = self._inline(body)
         body = self._hyphens(body)
         if _SPACED_GATE.search(body):
             body = SPACED.sub(self._spaced, body)
         body = self._words(body)
         self.lines = body.split("\n")
-        if len(self.lines) != len(self.masks):  # joins across lines moved them
-            self.masks = [None] * len(self.lines)
 
     @staticmethod
     def _kind(line: str) -> str:
@@ -251,7 +250,6 @@ class Repair:
     def _between(self, lines: list[str], kinds: list[str]) -> None:
         """Settles which page numbers and headers stand between the words of the passage."""
         n = len(lines)
-        text = [i for i in range(n) if kinds[i] == "text"]
         for i in range(n):
             if kinds[i] not in ("page", "header"):
                 continue
@@ -268,13 +266,6 @@ class Repair:
                     self.noise.add("page_number")
             elif kinds[i] == "page" or before is not None or after is not None:
                 kinds[i] = "text" if kinds[i] == "page" and not PAGE_LINE_STRONG.match(lines[i]) else kinds[i]
-        for i in text:
-            s = lines[i].strip()
-            if 0 < i < n - 1 and len(s.split()) >= 3 and _prose(s, 2) and ("" in (lines[i - 1].strip(), lines[i + 1].strip())):
-                before = next((lines[j].rstrip() for j in range(i - 1, -1, -1) if lines[j].strip()), "")
-                after = next((lines[j].lstrip() for j in range(i + 1, n) if lines[j].strip()), "")
-                if _prose(before, 4) and before[-1] not in ".:;!?" and after[:1].islower() and s[:1].isupper():
-                    self.masks[i] = _DIGITS.sub("#", s)
         # A blank line beside noise came with it.
         for i in range(n):
             if kinds[i] == "blank":
@@ -395,26 +386,57 @@ class Repair:
         return _TOKEN.sub(lambda m: swaps.get(m.group(), m.group()), token)
 
 
-LINES = "chunk_id string, line_no int, line string, mask string, noise array<string>"
+MASKS = "chunk_id string, line_no int, mask string, mid boolean"
+
+
+def _masks(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """MASKS of the raw lines that stand between lines of words; ``mid`` where such a line, beside a
+    blank one, breaks a sentence."""
+    out: list[tuple] = []
+    for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        lines = text.replace("\r\n", "\n").split("\n")
+        if len(lines) < 3:
+            continue
+        # Page numbers and listed headers may stand beside.
+        texts = [i for i, x in enumerate(lines) if Repair._kind(x) == "text"]
+        for a, i, b in zip(texts, texts[1:], texts[2:], strict=False):
+            s, before, after = lines[i].strip(), lines[a].rstrip(), lines[b].lstrip()
+            if s[:1].isupper() and len(s.split()) >= 3 and _prose(s, 2) and _prose(before, 2) and _prose(after, 2):
+                blank = not lines[i - 1].strip() or not lines[i + 1].strip()
+                out.append((key, i, _DIGITS.sub("#", s), blank and _prose(before, 4) and before[-1] not in ".:;!?" and after[:1].islower()))
+    if not out:
+        return None
+    types = [pa.string(), pa.int32(), pa.string(), pa.bool_()]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in MASKS.split(", ")])
+
+
+def learned(rows: DataFrame) -> DataFrame:
+    """(chunk_id, heads): the numbers of the lines whose masks break the sentences of RECURS chunks."""
+    masks = materialize(map_batches(rows, _masks, MASKS), "masks")
+    headers = masks.where("mid").groupBy("mask").agg(F.count_distinct("chunk_id").alias("c")).where(F.col("c") >= RECURS).select("mask")
+    return materialize(masks.join(headers, "mask").groupBy("chunk_id").agg(F.collect_set("line_no").alias("heads")), "headers")
+
+
+LINES = "chunk_id string, line_no int, line string, noise array<string>"
 
 
 def scan(rows: DataFrame) -> DataFrame:
-    """LINES of every chunk that has damage or a line that may be a learned header; the noise that
-    was found stands on line 0."""
+    """LINES of every chunk that has damage; the noise that was found stands on line 0."""
     lex = rows.sparkSession.sparkContext.broadcast(lexicon(rows))  # at most 1 / SHARE words
+    rows = rows.join(broadcast_if_small(learned(rows), HEADER_ROWS), "chunk_id", "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out: list[tuple] = []
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            r = Repair(text, lex.value)
-            if r.noise or any(r.masks):
-                out += [(key, i, x, m, sorted(r.noise) if i == 0 else []) for i, (x, m) in enumerate(zip(r.lines, r.masks, strict=True))]
+        for key, text, heads in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            r = Repair(text, lex.value, heads)
+            if r.noise:
+                out += [(key, i, x, sorted(r.noise) if i == 0 else []) for i, x in enumerate(r.lines)]
         if not out:
             return None
-        types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.string())]
+        types = [pa.string(), pa.int32(), pa.string(), pa.list_(pa.string())]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in LINES.split(", ")])
 
-    return map_batches(rows, run, LINES)
+    return map_batches(rows.select("chunk_id", "chunk_text", "heads"), run, LINES)
 
 
 def chunk_rows(df: DataFrame) -> DataFrame:
@@ -422,23 +444,13 @@ def chunk_rows(df: DataFrame) -> DataFrame:
     return materialize(one_row_per(df.where("chunk_text is not null"), "chunk_id", ["chunk_text"]), "chunks")
 
 
-def damage(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, headers): the materialised LINES, and the masked lines that recur."""
-    lines = materialize(scan(chunk_rows(df)), "lines")
-    headers = lines.where("mask is not null").groupBy("mask").agg(F.count_distinct("chunk_id").alias("c")).where(F.col("c") >= RECURS).select("mask")
-    return lines, headers
-
-
 def noise_kinds(df: DataFrame) -> DataFrame:
     """(chunk_id, noise) for each chunk of ``df`` (chunk_id, chunk_text) and kind of damage found:
     hyphenation, misread, header, page_number.
 
     NULL and empty texts have none; repeated rows count once; an empty table gives none.
     """
-    lines, headers = damage(df)
-    found = lines.select("chunk_id", F.explode("noise").alias("noise"))
-    learned = lines.where("mask is not null").join(headers, "mask").select("chunk_id", F.lit("header").alias("noise"))
-    return found.unionByName(learned).distinct()
+    return scan(chunk_rows(df)).select("chunk_id", F.explode("noise").alias("noise")).distinct()
 
 
 def repaired(df: DataFrame) -> DataFrame:
@@ -447,10 +459,8 @@ def repaired(df: DataFrame) -> DataFrame:
     Lines join the one before unless a paragraph begins: after a blank line, at a list item, a
     heading, a table row or code. The windows are over the lines of one chunk.
     """
-    lines, headers = damage(df)
-    marked = lines.join(headers.withColumn("h", F.lit(True)), "mask", "left")
-    hurt = marked.groupBy("chunk_id").agg(F.max((F.size("noise") > 0) | F.coalesce("h", F.lit(False))).alias("hurt")).where("hurt").select("chunk_id")
-    body = marked.where("h is null").join(hurt, "chunk_id", "left_semi").select("chunk_id", "line_no", F.regexp_replace("line", r"\s+$", "").alias("line"))
+    lines = materialize(scan(chunk_rows(df)), "lines")
+    body = lines.select("chunk_id", "line_no", F.regexp_replace("line", r"\s+$", "").alias("line"))
     w = Window.partitionBy("chunk_id").orderBy("line_no")
     item = F.col("line").rlike(r"^\s*(?:[-*•]|\(?\d{1,2}[.)]|[A-Z]\.|\d+(?:\.\d+)*\s+[A-Z])\s*\S|^\s{4,}\S|^```|^\s*\|")
     short = (F.size(F.split(F.trim("line"), r"\s+")) <= 3) & ~F.col("line").rlike(r"[.,;]$")
