@@ -87,6 +87,17 @@ def test_p1_learned_headers_of_damaged_texts(spark):
     assert "Libraries" not in out["s"]
 
 
+def test_p1_inline_page_numbers_of_several_lines():
+    rows = [(w, P1.skeleton(w), 100, 0, 0) for w in "the planner itself jointly reaches better answers because entity remains in section".split()]
+    lex = P1.Lexicon(rows, 5)
+    first = "the planner reaches better answers because the\n"
+    for bad in ("the planner itself 4 jointly reaches", "the planner itself p. 12 jointly reaches", "the planner itself 12/30 jointly reaches", "the planner itself jointly 7\nreaches better answers in section"):
+        r = P1.Repair(first + bad, lex)
+        assert r.noise == {"page_number"} and not any(c.isdigit() for x in r.lines for c in x), bad
+    for fine in ("- the planner itself 4 jointly reaches", "    planner = the itself 4 jointly reaches", "```\nthe planner itself 4 jointly reaches\n```", "itself 4 jointly", "| the planner itself 4 jointly reaches |"):
+        assert P1.Repair(first + "\n" + fine, lex).noise == set(), fine
+
+
 def test_p1_derivable():
     assert P1.derivable("planner", "p1anner") and P1.derivable("remains", "remams") and not P1.derivable("train", "tiarn") and not P1.derivable("same", "same")
 

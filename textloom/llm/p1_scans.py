@@ -67,8 +67,10 @@ ET_AL_INLINE = re.compile(rf"(?<=[a-z0-9,.)])[^\S\n]+((?:(?:{_PAGE_STRONG}|{_PAG
 _CAPS_GATE = re.compile(r"[A-Z]\s[A-Z]\s[A-Z]\s")
 HEADER_INLINE = re.compile(rf"(?<=\S)\s+({_BOTH})(?=\s+\S)")
 PAGE_INLINE = re.compile(rf"(?<=\S)[^\S\n]+({_PAGE_STRONG})(?=[^\S\n]+\S)")
-PAGE_INLINE_WEAK = re.compile(rf"(?<=[a-z,])[^\S\n]+(\d{{1,3}}/\d{{1,3}}|p\.\s?\d{{1,4}}|(?=[ivxlc]{{2}}){_ROMAN})(?=[^\S\n]+[a-z0-9(])")
-NUMBER_INLINE = re.compile(r"(?<![\w.,/(|=*+^-])([A-Za-z]+)[^\S\n]+(\d{1,3})[^\S\n]+([a-z]+)(?![\w/])")
+PAGE_INLINE_WEAK = re.compile(rf"(?<=[a-z,])\s+(\d{{1,3}}/\d{{1,3}}|p\.\s?\d{{1,4}}|(?=[ivxlc]{{2}}){_ROMAN})(?=\s+[a-z0-9(])")
+NUMBER_INLINE = re.compile(r"(?<![\w.,/(|=*+^-])([A-Za-z]+)\s+(\d{1,3})\s+([a-z]+)(?![\w/])")
+#: Lines of lists, headings, code and tables: numbers belong there.
+_NO_PROSE = re.compile(r"^\s*(?:[-*•]|\(?\d{1,2}[.)]|[A-Z]\.|\d+(?:\.\d+)*\s+[A-Z])\s*\S|^\s{4,}\S|\||\t|\S\s{3,}\S")
 HYPHEN = re.compile(rf"(?<=\w)[{_HYPHENS}]\s+(?=[^\W_])")
 _LEFT = re.compile(rf"[^\W\d_][{_GLYPHS}\w]*$")
 _RIGHT = re.compile(rf"[^\W_]+[{_GLYPHS}\w]*")
@@ -302,10 +304,25 @@ class Repair:
                 return f"{m.group(1)} {m.group(3)}"
             return m.group()
 
+        def prose(block: str) -> str:
+            return NUMBER_INLINE.sub(number, PAGE_INLINE_WEAK.sub(weak, block))
+
         if "\n" not in body.strip():
-            body = PAGE_INLINE_WEAK.sub(weak, body)
-            body = NUMBER_INLINE.sub(number, body)
-        return body
+            return prose(body)
+        if not any(c.isdigit() for c in body) and not PAGE_INLINE_WEAK.search(body):
+            return body
+        out, block, code = [], [], False
+        for line in body.split("\n"):
+            fence = line.lstrip().startswith("```")
+            code ^= fence
+            if code or fence or not _prose(line, 4) or _NO_PROSE.search(line):
+                if block:
+                    out.append(prose("\n".join(block)))
+                    block = []
+                out.append(line)
+            else:
+                block.append(line)
+        return "\n".join([*out, prose("\n".join(block))] if block else out)
 
     def _hyphens(self, body: str) -> str:
         lex = self.lex
