@@ -103,6 +103,12 @@ def test_drawn_order_follows_weights(spark):
     assert 60 <= sum(r["s"] == "A" for r in rows[:100]) <= 90
 
 
+def test_drawn_keeps_sources_without_weight(spark):
+    df = spark.createDataFrame([(i, ("en", "zh", "off")[i % 3]) for i in range(30)], "id long, source string")
+    out = MX.interleave_drawn(MX.numbered(df, "source", ["id"]), {"en": 2.0, "off": 0.0}, "source", 42).collect()
+    assert Counter(r["source"] for r in out) == {"en": 10, "zh": 10}
+
+
 def test_alignment(spark):
     df = spark.createDataFrame([("i", "", "o", [["q", "a"]]), ("i", "x", None, None)], "instruction string, input string, output string, history array<array<string>>")
     a, b = A.align_alpaca(df).collect()

@@ -33,10 +33,14 @@ def interleave_over(rows: DataFrame) -> DataFrame:
     return again.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1 - F.col("rn")) / F.col("n")))).alias("turn")).withColumn("pos", F.col("turn") * F.col("n") + F.col("rn")).drop("turn", "most")
 
 
-def interleave_drawn(rows: DataFrame, weights: dict[str, float], source: str, seed: int) -> DataFrame:
-    """``pos``: the order of a draw by weights; a row's key is exponential with its source's rate."""
+def interleave_drawn(rows: DataFrame, weights: dict[str, float], source: str, seed: int, default: float = 1.0) -> DataFrame:
+    """``pos``: the order of a draw by weights; a row's key is exponential with its source's rate.
+
+    A source without a weight has ``default``; one with a weight of 0 is left out.
+    """
     u = (F.conv(F.substring(shuffle_key(seed, F.concat_ws(":", F.col(source), F.col("rn"))), 1, 13), 16, 10).cast("double") + 1) / float(16**13 + 1)
     rate = F.element_at(F.create_map(*[x for k, v in weights.items() for x in (F.lit(k), F.lit(float(v)))]), F.col(source))
+    rate = F.coalesce(rate, F.lit(float(default)))
     return rows.where(rate > 0).withColumn("pos", -F.log(u) / rate)
 
 
