@@ -253,6 +253,23 @@ def test_p6_recall_and_edges(spark):
     assert P6.nearest(df.limit(0)).count() == 0
 
 
+def test_p6_recall_where_shards_are_many(spark, monkeypatch):
+    monkeypatch.setattr(P6, "TARGET", 12)
+    rng = np.random.default_rng(8)
+    x = (rng.normal(size=(3000, 10)) @ rng.normal(size=(10, 64))).astype(np.float32)
+    df = spark.createDataFrame([(f"k{i}", v.tolist()) for i, v in enumerate(x)], "key string, vec array<float>")
+    got = defaultdict(set)
+    for r in P6.nearest(df, queries=F.substring("key", 2, 9).cast("int") % 10 == 0).collect():
+        got[int(r["key"][1:])].add(int(r["other"][1:]))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    hit = 0
+    for i in range(0, 3000, 10):
+        s = x @ x[i]
+        s[i] = -2
+        hit += len(got[i] & set(np.argsort(-s)[:10].tolist()))
+    assert hit >= 0.9 * 3000, hit
+
+
 def test_p6_copies_fill_lists_with_least_keys(spark):
     df = spark.createDataFrame([(f"k{i:02}", [1.0] + [0.0] * 63) for i in range(30)] + [("z", [1.0, 0.2] + [0.0] * 62)], "key string, vec array<float>")
     got = defaultdict(list)

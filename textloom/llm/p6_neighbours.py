@@ -24,8 +24,9 @@ DIM, K, SIMILARITY = 64, 10, 0.95
 #: TARGET vectors and holds at most MOST.
 SAMPLE, TARGET, MOST = 16384, 4096, 12288
 PROBES, BEAM = 3, 20
-#: For the k nearest at any similarity, which are far apart: more shards and a wider beam.
-WIDE_PROBES, WIDE_BEAM = 8, 128
+#: For the k nearest at any similarity, which are far apart: more shards, by the root of their number
+#: (see ``wide_probes``), and a wider beam.
+WIDE_PROBES, WIDE_PER_ROOT, WIDE_BEAM = 8, 2.0, 128
 EVERY = 20
 
 
@@ -81,6 +82,11 @@ def fit_centroids(reps: DataFrame, n: int) -> np.ndarray:
     return c
 
 
+def wide_probes(centroids: int) -> int:
+    """Shards to visit for the k nearest at any similarity: a fixed number finds less the more there are."""
+    return max(WIDE_PROBES, int(np.ceil(WIDE_PER_ROOT * np.sqrt(centroids))))
+
+
 def route(reps: DataFrame, centroids: np.ndarray, probes: int, all_queries: bool = True) -> DataFrame:
     """(h, vec, query, homes): the centroids a vector visits, its own first."""
     probes = min(probes, len(centroids))
@@ -98,11 +104,12 @@ def route(reps: DataFrame, centroids: np.ndarray, probes: int, all_queries: bool
     return reps.select("h", "vec", "query").mapInArrow(run, "h long, vec binary, query boolean, homes array<int>")
 
 
-def search_shards(reps: DataFrame, n: int, k: int, probes: int, beam: int, least: float) -> DataFrame:
+def search_shards(reps: DataFrame, n: int, k: int, probes: int | None, beam: int, least: float) -> DataFrame:
     """(h, other, sim): up to ``k`` other classes near each query class in each shard it visits,
-    of similarity ``least`` or more. ``reps``: (h, vec, query), one row for each class."""
+    of similarity ``least`` or more. ``reps``: (h, vec, query), one row for each class. ``probes``:
+    how many shards, by default ``wide_probes``."""
     centroids = fit_centroids(reps, n)
-    routed = route(reps, centroids, probes)
+    routed = route(reps, centroids, wide_probes(len(centroids)) if probes is None else probes)
     # One row for each centroid: a shard that would hold more than MOST is cut.
     sizes = routed.groupBy(F.col("homes")[0].alias("home")).agg(F.count("*").alias("c")).collect()
     cuts = {r["home"]: -(-r["c"] // MOST) for r in sizes}
@@ -140,7 +147,7 @@ def search_shards(reps: DataFrame, n: int, k: int, probes: int, beam: int, least
     return kept.unionByName(visits).groupBy("home", "cut").applyInArrow(run, "h long, other long, sim double").where(F.col("sim") >= least)
 
 
-def nearest(vectors: DataFrame, k: int = K, least: float = -2.0, probes: int = WIDE_PROBES, beam: int = WIDE_BEAM, queries=None) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = K, least: float = -2.0, probes: int | None = None, beam: int = WIDE_BEAM, queries=None) -> DataFrame:
     """(key, other, sim, rank): the ``k`` most similar other vectors of each vector of ``vectors``
     (key, vec) for which the column ``queries`` of key holds (all by default), similarity ``least``
     or more.
