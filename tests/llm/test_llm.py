@@ -184,6 +184,14 @@ def test_p3_pairs(spark):
     assert P3.pair_defects(P3.reply_pairs(df.limit(0))).count() == 0
 
 
+def test_p3_list_fragments_at_any_count(spark):
+    whole = [(i, Q, "It needs:\n- small tables\n- big tables") for i in range(30)]
+    for n in (1, 5, 19, 30):
+        cut = [(100 + i, Q, "It needs:\n- small tables\n- big tab") for i in range(n)]
+        got = P3.pair_defects(spark.createDataFrame(whole + cut, "id long, prompt string, reply string")).collect()
+        assert {tuple(r) for r in got} == {(i, "truncated") for i, *_ in cut}, n
+
+
 def test_p4_matches_brute_force_on_a_hot_session(spark):
     rng = random.Random(2)
     rows, key = [], 0

@@ -179,8 +179,8 @@ def is_refusal(reply: str) -> bool:
 def ending(reply: str) -> tuple[str, str]:
     """(kind, last word) of a reply's end: ``closed``, ``broken``, ``list`` or ``open``.
 
-    ``closed`` and ``broken`` are settled by form; ``list`` and ``open`` are left to the
-    terminal-context model, with the last word as context.
+    ``closed`` and ``broken`` are settled by form, and ``open`` counts as cut; ``list`` is left to
+    the terminal-context model, with the last word as context.
     """
     text = reply.rstrip()
     if text.count("```") % 2:
@@ -263,8 +263,9 @@ def _count_ends(batch: pa.RecordBatch) -> pa.RecordBatch | None:
     return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([total[k] for k in keys], pa.int64()), pa.array([final[k] for k in keys], pa.int64())], ["last", "n", "n_end"])
 
 
-#: A list's last word that is seen this often and ends a unit in under this share breaks off.
-MIN_SEEN, MIN_END_SHARE = 20, 0.02
+#: A list's last word breaks off where it ends a unit in under this share of its places, counted with
+#: one more place at a lesser share: a word that ends no other unit breaks off at any count.
+MIN_END_SHARE, PRIOR_SHARE = 0.02, 0.01
 
 
 def reply_pairs(chat: DataFrame) -> DataFrame:
@@ -293,7 +294,7 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
     model = model.join(lists.select("last").distinct(), "last", "left_semi")
     listed = (
         lists.join(model, "last", "left")
-        .where((F.coalesce("n", F.lit(0)) < 2) | ((F.col("n") >= MIN_SEEN) & (F.col("n_end") < MIN_END_SHARE * F.col("n"))))
+        .where(F.coalesce("n_end", F.lit(0)) + PRIOR_SHARE < MIN_END_SHARE * (F.coalesce("n", F.lit(0)) + 1))
         .select("id", F.lit("truncated").alias("defect"))
     )
     return settled.unionByName(broken).unionByName(listed).distinct()
