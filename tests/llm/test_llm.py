@@ -174,6 +174,15 @@ def test_p3_labels(prompt, reply, want):
     assert got == want
 
 
+def test_p3_short_answers_and_open_ends_by_the_model(spark):
+    whole = [(i, Q, f"{A} It reaches {i}.5 points on LargeEval. The store keeps the hybrid index.") for i in range(40)]
+    short = [(100, Q, "Use BM25"), (101, Q, "Retrieval from a hybrid store"), (102, Q, "With LargeEval"), (103, Q, "Dense passage index")]
+    cut = [(200, Q, A + " The store keeps the hyb"), (201, Q, A + " The store keeps the hybrid"), (202, Q, A + " It reaches 14"), (203, Q, "The store keeps the planner and the tables because the planner")]
+    refused = [(300, Q, "No answer can be provided for this kind of question."), (301, Q, "Il m'est impossible de traiter cette demande.")]
+    got = {tuple(r) for r in P3.pair_defects(spark.createDataFrame(whole + short + cut + refused, "id long, prompt string, reply string")).collect()}
+    assert got == {(i, "truncated") for i, *_ in cut} | {(300, "refusal"), (301, "refusal")}
+
+
 def test_p3_pairs(spark):
     at = lambda m: T0 + timedelta(minutes=m)
     rows = [(5, "s", "USER ", Q, at(0)), (2, "s", "assistant", None, at(1)), (3, "s", "assistant", "null", at(2)), (9, None, "user", Q, None), (10, None, "assistant", Q, None), (11, "t", "tool", Q, at(0)), (12, "t", None, Q, at(0)), (13, "t", "assistant", "", at(0))]

@@ -2,7 +2,8 @@
 
 Method: each reply is compressed with its prompt as a raw zstandard dictionary, which makes a
 copy almost free; language and refusal dictionaries and a terminal-context model (how often a
-word ends a unit of text, counted over all replies) give the other labels.
+word, and a word after its predecessor, ends a unit of text, counted over all replies) give the
+other labels.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.common import map_batches, materialize, one_row_per, words
+from textloom.common import broadcast_if_small, map_batches, materialize, one_row_per, words
 from textloom.operators.sequence import with_previous
 
 # --- fixed values: literals that count as no content -----------------------------------------
@@ -57,6 +58,9 @@ REFUSALS = re.compile(
   | \bnot\ be\ appropriate\ for\ me\ to\b | \bi\ do\ not\ have\ access\ to\b | \bi\ don['’]t\ have\ access\ to\b
   | \b(?:as|being)\ an?\ (?:\w+\ ){0,2}(?:assistant|model|ai)\b[^.!?]*\b(?:not\ able|unable|can(?:['’]?t|not)|not\ allowed|not\ permitted)\b
   | \bi['’]?m\ not\ (?:able|allowed|permitted|comfortable)\b | \bi\ am\ not\ (?:able|allowed|permitted|comfortable)\b
+  | \bno\ (?:\w+\ )?(?:answer|reply|response|comment|information|details?|advice)\ (?:can|could|may|will|is\ able\ to)\ be\ (?:provided|given|offered|made|shared|supplied)\b
+  | \b(?:answer|request|question|topic)\b[^.!?]{0,30}\b(?:can(?:not|['’]t)|will\ not|won['’]t|may\ not)\ be\ (?:answered|provided|given|processed|fulfilled|handled|discussed)\b
+  | \bimpossible\ (?:for\ me\ )?to\ (?:answer|help|comment|process|handle|fulfil)\b | \bil\ m['’]est\ impossible\b | \bme\ (?:es|resulta)\ imposible\b | \b(?:ist\ mir|mir\ ist\ es)\b[^.!?]*\b(?:nicht\ möglich|unmöglich)\b
   | \bje\ ne\ (?:peux|puis)\ pas\b | \bpas\ en\ mesure\ de\b | \bje\ (?:préfère|refuse)\b | \bil\ ne\ m['’]est\ pas\ (?:permis|possible)\b | \bje\ ne\ suis\ pas\ autorisé
   | \bno\ puedo\ (?:ayudar|responder|contestar|comentar|hablar|dar|ofrecer)\b | \bprefiero\ no\b | \bno\ me\ (?:está|es)\ (?:permitido|posible)\b | \bno\ estoy\ autorizad | \bme\ niego\b
   | \bich\b[^.!?]*\bnicht\ (?:beantworten|helfen|dazu|weiterhelfen|äußern|sagen)\b | \bdarf\ ich\b[^.!?]*\b(?:keine|nicht|nichts)\b | \bich\ darf\b[^.!?]*\b(?:keine|nicht|nichts)\b | \b(?:möchte|kann|will|werde)\ ich\b[^.!?]*\b(?:nicht|keine|nichts)\b | \bich\ (?:möchte|kann|will|werde)\b[^.!?]*\b(?:nicht|keine|nichts)\b
@@ -140,18 +144,19 @@ def dictionary_share(prompt: str, reply: str) -> float:
 
 
 #: A copy compresses to no more than this share; what is left is checked word by word.
-COPY_SHARE = 0.75
+COPY_SHARE, SHORT_PROMPT = 0.75, 24
 
 
 def is_copy(prompt: str, reply: str) -> bool:
     """Nothing but the prompt: repeated, labelled, quoted, in other case, spacing or punctuation.
 
-    The zstandard share selects candidates; short prompts (under 8 bytes) are compared at once.
+    The zstandard share selects candidates; prompts under SHORT_PROMPT bytes, where the frame around
+    the compressed text outweighs it, are compared at once.
     """
     p, r = words(prompt), words(reply)
     if not p or not r or len(r) < len(p):
         return False
-    if len(" ".join(p)) >= 24 and dictionary_share(prompt, reply) > COPY_SHARE:
+    if len(" ".join(p)) >= SHORT_PROMPT and dictionary_share(prompt, reply) > COPY_SHARE:
         return False
     i, copies = 0, 0
     while i < len(r):
@@ -176,61 +181,83 @@ def is_refusal(reply: str) -> bool:
     return any(REFUSALS.search(s) and not NO_REFUSAL.search(s) for s in _SENTENCES.split(bare) if s)
 
 
-def ending(reply: str) -> tuple[str, str]:
-    """(kind, last word) of a reply's end: ``closed``, ``broken``, ``list`` or ``open``.
+def ending(reply: str) -> str:
+    """The kind of a reply's end: ``closed``, ``broken``, ``short``, ``list`` or ``open``.
 
-    ``closed`` and ``broken`` are settled by form, and ``open`` counts as cut; ``list`` is left to
-    the terminal-context model, with the last word as context.
+    ``closed`` and ``broken`` are settled by form. ``short`` (one unit of up to SHORT_WORDS words),
+    ``list`` (an item) and ``open`` (a longer text that stops without a mark) are left to the
+    terminal-context model.
     """
     text = reply.rstrip()
     if text.count("```") % 2:
-        return "broken", ""
+        return "broken"
     if text.endswith("```"):
-        return "closed", ""
+        return "closed"
     last = text.rsplit("\n", 1)[-1].strip()
     core = text.rstrip(_CLOSERS + " ")
     tail = core[-1:] if core else text[-1:]
     if any(text.count(a) + text.count(a2) > text.count(b) + text.count(b2) for a, a2, b, b2 in (("(", "（", ")", "）"), ("[", "【", "]", "】"))) and not re.search(r"[:;]-?\($", text):
-        return "broken", ""
+        return "broken"
     if tail in _MARKS:
         if tail == "." and (_ABBREVIATED.search(core) or re.search(r"(?:^|\s)0\.$", core)):
-            return "broken", ""
+            return "broken"
         if text.endswith(("...", "…")) and len(words(text)) > 2:
-            return "broken", ""
-        return "closed", ""
+            return "broken"
+        return "closed"
     if tail in ",;:-–—、，；：/&+(" or re.search(r"\b(?:the|a|an|of|and|or|to|with|for|by|in|on|at|der|die|das|und|mit|le|la|les|des|et|de|el|los|y|con)$", last):
-        return "broken", ""
-    own = words(last)
-    end = own[-1] if own else ""
-    unit = re.split(r"(?<=[.!?。！？])\s+|(?<=[。！？])", last)[-1].strip()
+        return "broken"
+    unit = _units(last)[-1].strip()
     if _LIST.match(last):
-        return "list", end
+        return "list"
     if _FORMULA.match(unit) and not re.search(r"[a-z]{4,} [a-z]{3,}", unit):
-        return "closed", ""
+        return "closed"
     if re.match(r"^(?:see|cf|vgl|voir|véase|siehe)\b\.?\s*\(.*\)$", unit, re.I):
-        return "closed", ""
+        return "closed"
     if unit == text and (_SHORT_WORD.match(unit) or _SHORT.match(unit)):
-        return "closed", ""
+        return "closed"
     if re.match(r"^\s*\|.*\|$", last) or re.match(r"^\s{4,}\S", text.rsplit("\n", 1)[-1]):
-        return "closed", ""
-    return "open", end
+        return "closed"
+    return "short" if unit == text and len(words(text)) <= SHORT_WORDS and not _CJK.search(text) else "open"
 
 
-def unit_words(reply: str) -> tuple[list[str], list[str]]:
-    """(words that end a unit, all words): a unit ends at a sentence mark or a line's end."""
-    ends = []
+_UNIT = re.compile(r"(?<=[.!?。！？])\s+|(?<=[。！？])")
+_RAW = re.compile(r"[^\W_]+")
+
+
+def _units(line: str) -> list[str]:
+    return [x for x in _UNIT.split(line) if x] or [line]
+
+
+class _Shapes(dict):
+    """Token -> how the model counts it: numbers as ``#``, coined names (with digits or capitals
+    inside) as ``@``, other words in lower case."""
+
+    def __missing__(self, token: str) -> str:
+        if token.isdigit():
+            shape = "#"
+        elif token.isascii() and (any(c.isdigit() for c in token) or any(c.isupper() for c in token[1:])):
+            shape = "@"
+        else:
+            shape = token.lower()
+        self[token] = shape
+        return shape
+
+
+def contexts(reply: str, shapes: dict[str, str]) -> list[list[str]]:
+    """The shapes of each unit's words; a unit ends at a sentence mark or a line's end."""
+    out = []
     for line in reply.split("\n"):
-        for s in re.split(r"(?<=[.!?。！？])\s+|(?<=[。！？])", line):
-            ws = words(s)
-            if ws:
-                ends.append(ws[-1])
-    return ends, words(reply)
+        for unit in _units(line):
+            if tokens := _RAW.findall(unit):
+                out.append([shapes[t] for t in tokens])
+    return out
 
 
 def _examine(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    ids, defects, kinds, lasts = [], [], [], []
+    ids, defects, kinds, lasts, pairs = [], [], [], [], []
+    shapes = _Shapes()
     for key, prompt, reply in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-        defect, kind, last = None, "closed", ""
+        defect, kind, last, pair = None, "closed", None, None
         prompt = prompt or ""
         if is_empty(reply):
             defect = "empty"
@@ -243,29 +270,51 @@ def _examine(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             if a and b and a != b and a not in requested_language(prompt):
                 defect = "other_language"
             else:
-                kind, last = ending(reply)
+                kind = ending(reply)
+                if kind in MIN_END_SHARE:
+                    final = contexts(reply, shapes)[-1]
+                    last, pair = final[-1], " ".join(final[-2:])
         ids.append(key)
         defects.append(defect)
         kinds.append(kind)
         lasts.append(last)
-    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(defects, pa.string()), pa.array(kinds, pa.string()), pa.array(lasts, pa.string())], ["id", "defect", "kind", "last"])
+        pairs.append(pair)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(x, pa.string()) for x in (defects, kinds, lasts, pairs))], ["id", "defect", "kind", "last", "pair"])
 
 
 def _count_ends(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+    """How often each word, and each two words, occur and end a unit."""
     total: Counter = Counter()
     final: Counter = Counter()
+    shapes = _Shapes()
     for reply in batch.column(0).to_pylist():
-        if reply:
-            ends, all_words = unit_words(reply)
-            total.update(all_words)
-            final.update(ends[:-1])  # the last unit is the one in question
+        if not reply:
+            continue
+        units = contexts(reply, shapes)
+        marked = reply.rstrip()[-1:] in _MARKS
+        for i, unit in enumerate(units):
+            two = [f"{a} {b}" for a, b in zip(unit, unit[1:], strict=False)] if len(unit) > 1 else []
+            total.update(unit)
+            total.update(two)
+            if i < len(units) - 1 or marked:  # a last unit without a mark is in question
+                final[unit[-1]] += 1
+                if two:
+                    final[two[-1]] += 1
     keys = list(total)
-    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([total[k] for k in keys], pa.int64()), pa.array([final[k] for k in keys], pa.int64())], ["last", "n", "n_end"])
+    return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array([total[k] for k in keys], pa.int64()), pa.array([final[k] for k in keys], pa.int64())], ["context", "n", "n_end"])
 
 
-#: A list's last word breaks off where it ends a unit in under this share of its places, counted with
-#: one more place at a lesser share: a word that ends no other unit breaks off at any count.
-MIN_END_SHARE, PRIOR_SHARE = 0.02, 0.01
+#: A reply without a final mark breaks off where its last word ends a unit in under this share of its
+#: places: a text that stopped amid sentences must end as texts usually do, a short unit or a list's
+#: item breaks off only where hardly anything ends so. The share of a word is smoothed by one place at
+#: PRESUMED (so a fragment that ends no other unit breaks off a text or a list at any count, but no
+#: short answer), the share after the word before by BACKOFF places at the word's share.
+MIN_END_SHARE = {"open": 0.2, "list": 0.02, "short": 0.002}
+PRESUMED = {"open": 0.01, "list": 0.01, "short": 0.5}
+BACKOFF = 20.0
+#: A single unit of up to this many words may be a complete answer without a mark.
+SHORT_WORDS = 6
+CONTEXT_ROWS = 200_000
 
 
 def reply_pairs(chat: DataFrame) -> DataFrame:
@@ -285,19 +334,24 @@ def pair_defects(pairs: DataFrame) -> DataFrame:
     rows give one result row. An empty input gives an empty result.
     """
     pairs = pairs.select("id", "prompt", "reply")
-    seen = materialize(map_batches(pairs, _examine, "id long, defect string, kind string, last string"), "pairs")
+    seen = materialize(map_batches(pairs, _examine, "id long, defect string, kind string, last string, pair string"), "pairs")
     settled = seen.where("defect is not null").select("id", "defect")
-    broken = seen.where("defect is null and kind in ('broken', 'open')").select("id", F.lit("truncated").alias("defect"))
-    lists = seen.where("defect is null and kind = 'list'")
-    # Only the words that end a list are looked up, but they are counted over all replies.
-    model = map_batches(pairs.select("reply"), _count_ends, "last string, n long, n_end long").groupBy("last").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
-    model = model.join(lists.select("last").distinct(), "last", "left_semi")
-    listed = (
-        lists.join(model, "last", "left")
-        .where(F.coalesce("n_end", F.lit(0)) + PRIOR_SHARE < MIN_END_SHARE * (F.coalesce("n", F.lit(0)) + 1))
-        .select("id", F.lit("truncated").alias("defect"))
-    )
-    return settled.unionByName(broken).unionByName(listed).distinct()
+    broken = seen.where("defect is null and kind = 'broken'").select("id", F.lit("truncated").alias("defect"))
+    asked = seen.where("defect is null and kind in ('short', 'list', 'open')").select("id", "kind", "last", "pair")
+    # Only the ends in question are looked up, but they are counted over all replies; where their
+    # number allows, the others are left out before the shuffle.
+    keys = asked.select(F.col("last").alias("context")).union(asked.select("pair")).distinct()
+    counted = map_batches(pairs.select("reply"), _count_ends, "context string, n long, n_end long")
+    model = counted.join(broadcast_if_small(keys, CONTEXT_ROWS), "context", "left_semi").groupBy("context").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end"))
+    model = materialize(model, "ends")
+    one = model.select(F.col("context").alias("last"), F.col("n").alias("n1"), F.col("n_end").alias("e1"))
+    two = model.select(F.col("context").alias("pair"), F.col("n").alias("n2"), F.col("n_end").alias("e2"))
+    none = F.lit(0)
+    by_kind = lambda x: F.element_at(F.create_map(*[F.lit(y) for kv in x.items() for y in kv]), F.col("kind"))
+    share = (F.coalesce("e1", none) + by_kind(PRESUMED)) / (F.coalesce("n1", none) + 1)
+    share = (F.coalesce("e2", none) + F.lit(BACKOFF) * share) / (F.coalesce("n2", none) + BACKOFF)
+    cut = asked.join(one, "last", "left").join(two, "pair", "left").where(share < by_kind(MIN_END_SHARE)).select("id", F.lit("truncated").alias("defect"))
+    return settled.unionByName(broken).unionByName(cut).distinct()
 
 
 def p3_found(spark, sf_dir: str) -> DataFrame:
