@@ -406,6 +406,16 @@ def test_p9_spreads_and_edges(spark):
     assert a != b and P9.simhashes([[]]).shape == (1,)
 
 
+def test_p9_learns_unlisted_forms(spark):
+    """Placeholder Latin of other words, and the sentences of an error page that no form lists."""
+    page = "Access denied.\nOur gnomes are fetching a fresh barrel of bytes.\nKindly come back to the harbour after lunch."
+    rows = [(i, f"We study case {i} of the planner.\n{page}" if i < 5 else f"The planner of run {i} reads the table.") for i in range(20)]
+    rows += [(50, "Our gnomes are fetching a fresh barrel of bytes."), (51, "Dolera sitam ametu consec adipan elitro sedim eiusmo tempra incido."), (52, "Complement consistent adapters exceed laboratory limits of the planner.")]
+    got = {tuple(r) for r in P9.residue_sentences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {d for d, _ in got} == {*range(5), 50, 51}
+    assert (50, "error") in got and (51, "filler") in got
+
+
 def test_p9_edited_copies_at_the_similarity_are_all_found(spark):
     rng = random.Random(3)
     vocabulary = ["".join(rng.choices("bdfgklmnprstv", k=3)) + "a" + str(rng.choice("aeiou")) for _ in range(4000)]

@@ -9,6 +9,11 @@ sets with a Jaccard similarity of ``SIMILARITY`` or more, the n - ceil(SIMILARIT
 each have one in common, so no such pair is missed. Pairs are verified by text similarity, and
 labels spread through the connected components they form. A placeholder inside a sentence labels its
 document, but does not spread: the sentence around it is content.
+
+Two kinds of seeds are learned instead of listed. Placeholder Latin need not be the known text: a line
+without a function word of any language whose words nearly all resemble its vocabulary is filler. And
+the pages that residue comes from hold more sentences than the listed ones: a sentence that recurs in
+LEARN_DOCS documents and stands beside trusted residue in LEARN_SHARE of its places is residue too.
 """
 
 from __future__ import annotations
@@ -27,6 +32,7 @@ from textloom.common import ASCII_WORDS, broadcast_if_small, map_batches, materi
 
 DISTANCE, BLOCKS, BLOCK_BITS = 3, 4, 16
 SHINGLE, SIMILARITY = 5, 0.8
+LEARN_DOCS, LEARN_SHARE = 3, 0.8
 #: Labelled sentences of one round that may be broadcast (64 bytes each and their texts).
 FRONTIER_ROWS = 50_000
 
@@ -48,6 +54,15 @@ FILLER = re.compile(
     r"\blorem ipsum\b|\bdolor sit amet\b|\bconsectetur adipiscing\b|\b(?:asdf|qwerty|blah|foo|test|bla)(?:[ ,]+(?:asdf|qwerty|blah|foo|test|bla)){2,}\b|\b(?:x{3,}[ .]+){2,}x{3,}|\btext goes here\b|\b(?:this is (?:a |an |some )?)?(?:dummy|placeholder|filler|sample) (?:paragraph|text)\b|\breplace this (?:paragraph|text|section|sentence)\b|\bthis (?:paragraph|text|section) is (?:a )?placeholder\b|\byour (?:text|content|abstract) (?:goes )?here\b",
     re.IGNORECASE,
 )
+# --- fixed values: the vocabulary of placeholder Latin ---------------------------------------------------
+LATIN = "lorem ipsum dolor sit amet consectetur adipiscing adipisicing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum"
+#: A line of at least LATIN_WORDS words is filler where this share of them resembles that vocabulary: by
+#: its first three letters or any four letters in a row.
+LATIN_WORDS, LATIN_SHARE = 6, 0.85
+_LATIN_HEADS = frozenset(w[:3] for w in LATIN.split())
+_LATIN_RUNS = frozenset(w[i : i + 4] for w in LATIN.split() for i in range(len(w) - 3))
+# --- fixed values: frequent function words; a line with one of them is no placeholder Latin -----------------
+COMMON = frozenset("the of and to a in is that it for on with as are was be by this from at which not or an we each when if der die das und ist ein eine den dem des mit für auf von zu im le la les et est un une du que dans pour sur par el los las y es del en con no se al".split())
 # --- fixed values: messages of error pages --------------------------------------------------------------
 ERROR = re.compile(
     r"""
@@ -137,6 +152,14 @@ def residue(sentence: str) -> tuple[str, bool] | None:
     return None
 
 
+def is_latin(ws: list[str]) -> bool:
+    """Whether a line's words are placeholder Latin, of the known words or of others like them."""
+    if len(ws) < LATIN_WORDS or not COMMON.isdisjoint(ws):
+        return False
+    like = sum(w[:3] in _LATIN_HEADS or any(w[i : i + 4] in _LATIN_RUNS for i in range(len(w) - 3)) for w in ws)
+    return like >= LATIN_SHARE * len(ws)
+
+
 def masked(lines: str) -> list[list[str]]:
     """For each line, its words in lower case with every run of digits as 0."""
     if lines.isascii():
@@ -222,27 +245,29 @@ def _simhashes(a: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def _cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-    ids, kinds, spread, texts = [], [], [], []
+    ids, kinds, spread, beside, texts = [], [], [], [], []
     for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
         lines = one_a_line(text)
         own = masked(lines)
         # A text without anchors has no sentence with one.
         raw = lines.split("\n") if _anchored(text) else None
-        for i, ws in enumerate(own):
-            found = residue(raw[i].strip()) if raw else None
-            if ws or found:
-                ids.append(d)
-                kinds.append(found[0] if found else None)
-                spread.append(bool(found and found[1]))
-                texts.append(ws)
+        all_found = [(residue(raw[i].strip()) if raw else None) or (("filler", True) if is_latin(ws) else None) for i, ws in enumerate(own)]
+        held = [i for i, ws in enumerate(own) if ws or all_found[i]]
+        trusted = [bool(all_found[i] and all_found[i][1]) for i in held]
+        for at, i in enumerate(held):
+            ids.append(d)
+            kinds.append(all_found[i][0] if all_found[i] else None)
+            spread.append(trusted[at])
+            beside.append(any(trusted[max(at - 1, 0) : at]) or any(trusted[at + 1 : at + 2]))
+            texts.append(own[i])
     if not ids:
         return None
     codes = word_codes(texts)
     keys, many, shingles = shingle_prefixes(*codes)
     keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(many)]), pa.int32()), pa.array(keys))
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(spread, pa.bool_()), pa.array(_simhashes(*codes), pa.int64()), keys, pa.array(shingles, pa.int32()), pa.array([" ".join(t) for t in texts], pa.string())],
-        ["doc_id", "kind", "spread", "sim", "keys", "shingles", "text"],
+        [pa.array(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(spread, pa.bool_()), pa.array(beside, pa.bool_()), pa.array(_simhashes(*codes), pa.int64()), keys, pa.array(shingles, pa.int32()), pa.array([" ".join(t) for t in texts], pa.string())],
+        ["doc_id", "kind", "spread", "beside", "sim", "keys", "shingles", "text"],
     )
 
 
@@ -258,6 +283,18 @@ def _shingles(text):
     return F.array_distinct(F.when(F.size(w) >= SHINGLE, F.transform(F.sequence(F.lit(1), F.size(w) - (SHINGLE - 1)), lambda i: F.array_join(F.slice(w, i, SHINGLE), " "))).otherwise(F.array(text)))
 
 
+def learned(cut: DataFrame) -> DataFrame:
+    """The rows of ``cut`` whose sentence is residue by its company: see LEARN_DOCS and LEARN_SHARE.
+
+    Only sentences that stand beside trusted ones are looked up, but all their places are counted.
+    """
+    plain = cut.where("kind is null")
+    near = plain.where("beside").groupBy("text").agg(F.count_distinct("doc_id").alias("c")).where(F.col("c") >= LEARN_DOCS).select("text")
+    places = plain.join(broadcast_if_small(near, FRONTIER_ROWS), "text")
+    sure = places.groupBy("text").agg(F.avg(F.col("beside").cast("int")).alias("share")).where(F.col("share") >= LEARN_SHARE).select("text")
+    return places.join(broadcast_if_small(sure, FRONTIER_ROWS), "text")
+
+
 def residue_sentences(docs: DataFrame) -> DataFrame:
     """(doc_id, kind) for each document and kind of residue in it: placeholder, filler, error, script.
 
@@ -265,11 +302,11 @@ def residue_sentences(docs: DataFrame) -> DataFrame:
     table gives an empty result.
     """
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
-    cut = materialize(map_batches(rows, _cut, "doc_id long, kind string, spread boolean, sim long, keys array<int>, shingles int, text string"), "sentences")
-    out = cut.where("kind is not null").select("doc_id", "kind").distinct()
+    cut = materialize(map_batches(rows, _cut, "doc_id long, kind string, spread boolean, beside boolean, sim long, keys array<int>, shingles int, text string"), "sentences")
+    out = cut.where("kind is not null").select("doc_id", "kind").unionByName(learned(cut).select("doc_id", F.lit("error").alias("kind")))
     same = [F.first(c).alias(c) for c in ("sim", "keys", "shingles")]  # the same for equal texts
     trusted = cut.where("spread").groupBy("text").agg(*same, F.min("kind").alias("kind"))
-    frontier = materialize(trusted, "trusted")
+    frontier = materialize(trusted.unionByName(learned(cut).groupBy("text").agg(*same, F.lit("error").alias("kind"))), "trusted")
     done = frontier.select("text")
     others = cut.where("kind is null").select("sim", "keys", "shingles", "text", F.explode(_tables("sim", "keys")).alias("table"))
     while not frontier.isEmpty():
