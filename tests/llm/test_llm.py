@@ -287,6 +287,35 @@ def test_p6_recall_where_shards_are_many(spark, monkeypatch):
     assert hit >= 0.9 * 3000, hit
 
 
+def test_p6_tree_bounds_shards_and_descends(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 64)).astype(np.float32)
+    x[1000:2500] = x[0] + 1e-3 * rng.normal(size=(1500, 64))  # a dense cell
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = P6.Tree()
+    tree.split(0, P6.kmeans(x, 8))
+    for leaf in tree.leaves().tolist():
+        tree.split(leaf, P6.kmeans(x[tree.own(x) == leaf], 8))
+    assert len(tree.under) > 3 and np.bincount(tree.own(x)).max() < 1000  # Euclidean centroids part the dense cell
+    flat = P6.visited(tree, x, 6)
+    monkeypatch.setattr(P6, "FLAT", 0)
+    deep = P6.visited(tree, x, 6)
+    assert (flat[:, 0] == tree.own(x)).all() and (deep[:, 0] == flat[:, 0]).all()
+    both = [len(set(a) & set(b)) for a, b in zip(flat.tolist(), deep.tolist(), strict=True)]
+    assert np.mean(both) >= 5.4
+
+
+def test_p6_visitors_in_several_turns_find_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = (rng.normal(size=(600, 6)) @ rng.normal(size=(6, 64))).astype(np.float32)
+    df = spark.createDataFrame([(f"k{i}", v.tolist()) for i, v in enumerate(x)], "key string, vec array<float>")
+    monkeypatch.setattr(P6, "TARGET", 60)
+    one = {(r["key"], r["other"]) for r in P6.nearest(df, probes=4).collect()}
+    monkeypatch.setattr(P6, "VISITORS", 0.3)
+    many = {(r["key"], r["other"]) for r in P6.nearest(df, probes=4).collect()}
+    assert one == many
+
+
 def test_p6_copies_fill_lists_with_least_keys(spark):
     df = spark.createDataFrame([(f"k{i:02}", [1.0] + [0.0] * 63) for i in range(30)] + [("z", [1.0, 0.2] + [0.0] * 62)], "key string, vec array<float>")
     got = defaultdict(list)

@@ -13,6 +13,8 @@ import numpy as np
 
 FORWARD, BACKWARD = 8, 8
 BUILD_BEAM, BATCH = 24, 1024
+#: A batch's table of visited nodes has at most this many entries.
+SEEN = 1 << 25
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int, step: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +116,7 @@ class Hnsw:
             done = len(above)
             links[:done] = above
         while done < n:
-            size = min(n - done, max(64, min(done, BATCH)))
+            size = min(n - done, max(64, min(done, BATCH, SEEN // n)))
             q = self.x[done : done + size]
             own = q @ q.T
             np.fill_diagonal(own, -2.0)
@@ -172,14 +174,15 @@ class Hnsw:
         k = min(k, len(self.x))
         rows = np.full((len(queries), k), -1, dtype=np.int64)
         sims = np.full((len(queries), k), -2.0, dtype=np.float32)
-        for at in range(0, len(queries), BATCH) if k else ():
-            q = np.ascontiguousarray(queries[at : at + BATCH], dtype=np.float32)
+        step = max(64, min(BATCH, SEEN // max(len(self.x), 1)))
+        for at in range(0, len(queries), step) if k else ():
+            q = np.ascontiguousarray(queries[at : at + step], dtype=np.float32)
             if node_of is None:
                 ids, s = self._search(q, max(beam, k))
             else:
-                ids, s = beam_search(self.x, self.layers[0], q, node_of[rows_of[at : at + BATCH]], max(beam, k))
+                ids, s = beam_search(self.x, self.layers[0], q, node_of[rows_of[at : at + step]], max(beam, k))
             best = np.argsort(-s, axis=1, kind="stable")[:, :k]
             got = np.take_along_axis(ids, best, axis=1)
-            rows[at : at + BATCH] = np.where(got >= 0, self.order[np.maximum(got, 0)], -1)
-            sims[at : at + BATCH] = np.take_along_axis(s, best, axis=1)
+            rows[at : at + step] = np.where(got >= 0, self.order[np.maximum(got, 0)], -1)
+            sims[at : at + step] = np.take_along_axis(s, best, axis=1)
         return rows, sims
