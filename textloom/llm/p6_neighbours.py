@@ -264,7 +264,10 @@ def search_shards(reps: DataFrame, n: int, k: int, probes: int | None, beam: int
     seen = routed.where("query").select(F.explode(F.slice("homes", 2, probes)).alias("home"), F.lit(0).alias("held"), F.lit(1).alias("visits"))
     load = own.unionByName(seen).groupBy("home").agg(F.sum("held").alias("held"), F.sum("visits").alias("visits"))
     load = load.select("home", F.greatest(F.lit(1), F.ceil(F.col("held") / most)).cast("int").alias("cuts"), F.greatest(F.lit(1), F.ceil(F.col("visits") / (VISITORS * most))).cast("int").alias("turns"))
-    load = F.broadcast(materialize(load, "load"))  # at most LEAVES rows of three numbers
+    load = materialize(load, "load")
+    # One task for each group, so that no task grows with the collection.
+    tasks = max(1, load.agg(F.sum(F.col("cuts") * F.col("turns"))).first()[0] or 1)
+    load = F.broadcast(load)  # at most LEAVES rows of three numbers
     place = lambda salt, of: F.pmod(F.xxhash64("h", F.lit(salt)), F.col(of)).cast("int")
     kept = routed.select("h", "vec", "query", F.col("homes")[0].alias("home")).join(load, "home")
     kept = kept.select("home", place(1, "cuts").alias("cut"), F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "h", "vec", "query", F.lit(True).alias("held"))
@@ -295,7 +298,7 @@ def search_shards(reps: DataFrame, n: int, k: int, probes: int | None, beam: int
         cols = [np.concatenate(z) for z in zip(*out, strict=True)] if out else [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)]
         return pa.table({"h": pa.array(cols[0], pa.int64()), "other": pa.array(cols[1], pa.int64()), "sim": pa.array(cols[2], pa.float64())})
 
-    return kept.unionByName(visits).groupBy("home", "cut", "turn").applyInArrow(run, "h long, other long, sim double").where(F.col("sim") >= least)
+    return kept.unionByName(visits).repartition(tasks, "home", "cut", "turn").groupBy("home", "cut", "turn").applyInArrow(run, "h long, other long, sim double").where(F.col("sim") >= least)
 
 
 def nearest(vectors: DataFrame, k: int = K, least: float = -2.0, probes: int | None = None, beam: int = WIDE_BEAM, queries=None) -> DataFrame:
