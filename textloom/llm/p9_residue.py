@@ -251,7 +251,7 @@ def _cut(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         own = masked(lines)
         # A text without anchors has no sentence with one.
         raw = lines.split("\n") if _anchored(text) else None
-        all_found = [(residue(raw[i].strip()) if raw else None) or (("filler", True) if is_latin(ws) else None) for i, ws in enumerate(own)]
+        all_found = [(residue(raw[i].strip()) if raw else None) or (("filler", True) if len(ws) >= LATIN_WORDS and COMMON.isdisjoint(ws) and is_latin(ws) else None) for i, ws in enumerate(own)]
         held = [i for i, ws in enumerate(own) if ws or all_found[i]]
         trusted = [bool(all_found[i] and all_found[i][1]) for i in held]
         for at, i in enumerate(held):
@@ -290,7 +290,8 @@ def learned(cut: DataFrame) -> DataFrame:
     """
     plain = cut.where("kind is null")
     near = plain.where("beside").groupBy("text").agg(F.count_distinct("doc_id").alias("c")).where(F.col("c") >= LEARN_DOCS).select("text")
-    places = plain.join(broadcast_if_small(near, FRONTIER_ROWS), "text")
+    near = materialize(near, "beside")
+    places = materialize(plain.join(broadcast_if_small(near, FRONTIER_ROWS), "text"), "places")
     sure = places.groupBy("text").agg(F.avg(F.col("beside").cast("int")).alias("share")).where(F.col("share") >= LEARN_SHARE).select("text")
     return places.join(broadcast_if_small(sure, FRONTIER_ROWS), "text")
 
@@ -303,10 +304,11 @@ def residue_sentences(docs: DataFrame) -> DataFrame:
     """
     rows = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
     cut = materialize(map_batches(rows, _cut, "doc_id long, kind string, spread boolean, beside boolean, sim long, keys array<int>, shingles int, text string"), "sentences")
-    out = cut.where("kind is not null").select("doc_id", "kind").unionByName(learned(cut).select("doc_id", F.lit("error").alias("kind")))
+    company = learned(cut)
+    out = cut.where("kind is not null").select("doc_id", "kind").unionByName(company.select("doc_id", F.lit("error").alias("kind")))
     same = [F.first(c).alias(c) for c in ("sim", "keys", "shingles")]  # the same for equal texts
     trusted = cut.where("spread").groupBy("text").agg(*same, F.min("kind").alias("kind"))
-    frontier = materialize(trusted.unionByName(learned(cut).groupBy("text").agg(*same, F.lit("error").alias("kind"))), "trusted")
+    frontier = materialize(trusted.unionByName(company.groupBy("text").agg(*same, F.lit("error").alias("kind"))), "trusted")
     done = frontier.select("text")
     others = cut.where("kind is null").select("sim", "keys", "shingles", "text", F.explode(_tables("sim", "keys")).alias("table"))
     while not frontier.isEmpty():
