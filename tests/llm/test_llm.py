@@ -137,6 +137,14 @@ def test_p2_pairs_and_groups(spark):
     assert P2.near_pairs(df.limit(0))[1].count() == 0
 
 
+def test_p2_hot_postings_are_salted(spark, monkeypatch):
+    rows = near_rows(random.Random(6))
+    monkeypatch.setattr(P2, "HOT", 2)
+    monkeypatch.setattr(P2, "POSTINGS", 500)
+    members, pairs = P2.near_pairs(spark.createDataFrame(rows, "chunk_id string, chunk_text string"))
+    assert {tuple(r) for r in P2.expand(members, pairs, None).collect()} == brute_pairs(rows)
+
+
 def test_p2_large_class_of_copies_is_a_star(spark):
     df = spark.createDataFrame([(f"k{i:03}", "the very same text of some words") for i in range(100)] + [("y", "the very same text of some words here")], "chunk_id string, chunk_text string")
     members, pairs = P2.near_pairs(df)

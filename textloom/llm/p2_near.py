@@ -30,6 +30,9 @@ EXPAND = 64
 BROADCAST_ROWS = 50_000
 #: A posting shared by this share of the texts is popular: there are at most COORDINATES / POPULAR.
 POPULAR, BLOCK = 1e-4, 16384
+#: A posting that more texts share than this is salted: its texts are dealt out by hash and meet all
+#: others in as many tasks. A task of the join gets about POSTINGS rows, however many there are.
+HOT, POSTINGS = 4096, 500_000
 
 _rng = np.random.default_rng(20240229)
 _MUL = _rng.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -154,7 +157,8 @@ def _unequal(x, y):
 
 def similar_texts(classes: DataFrame) -> DataFrame:
     """(a, b), a < b: candidate pairs of distinct texts (doc, sig) by collisions."""
-    keys, counts = popular_postings(classes, classes.count())
+    n = classes.count()
+    keys, counts = popular_postings(classes, n)
     held = classes.sparkSession.sparkContext.broadcast((keys, counts))  # at most COORDINATES / POPULAR
     most = COORDINATES - MATCHES + 1
 
@@ -168,15 +172,24 @@ def similar_texts(classes: DataFrame) -> DataFrame:
             mixed = (own * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(34)
         order = np.argsort((rank.astype(np.uint64) << np.uint64(30)) | mixed, axis=1)[:, :most]
         key = np.take_along_axis(own, order, axis=1).ravel().view(np.int64)
+        salts = np.maximum(1, -(-np.take_along_axis(rank, order, axis=1).ravel() // HOT))
         doc = np.repeat(batch.column(0).to_numpy(), most)
-        packed = _pack((own & np.uint64(0xFFFFFFFF)).astype(np.uint32))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(doc), *[pa.array(np.repeat(p, most)) for p in packed]], ["key", "doc", "s0", "s1", "s2"])
-
-    posts = map_batches(classes, prefixes, "key long, doc long, s0 long, s1 long, s2 long")
-    left = posts.select("key", F.col("doc").alias("a"), *[F.col(f"s{i}").alias(f"a{i}") for i in range(3)])
-    right = posts.select("key", F.col("doc").alias("b"), *[F.col(f"s{i}").alias(f"b{i}") for i in range(3)])
+        packed = [np.repeat(p, most) for p in _pack((own & np.uint64(0xFFFFFFFF)).astype(np.uint32))]
+        # A hot posting once asks, in the task that the text's hash names, and answers in all of them.
+        hot = np.flatnonzero(salts > 1)
+        answers = np.repeat(hot, salts[hot])
+        rows = np.concatenate([np.arange(len(key)), answers])
+        role = np.concatenate([np.where(salts > 1, 1, 0), np.full(len(answers), 2)])
+        first = np.cumsum(salts[hot]) - salts[hot]
+        salt = np.concatenate([np.where(salts > 1, (doc.view(np.uint64) % salts.astype(np.uint64)).astype(np.int64), 0), np.arange(len(answers)) - np.repeat(first, salts[hot])])
+        return pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(salt, pa.int64()).cast(pa.int32()), pa.array(role, pa.int64()).cast(pa.int32()), pa.array(doc[rows]), *[pa.array(p[rows]) for p in packed]], ["key", "salt", "role", "doc", "s0", "s1", "s2"])
+
+    posts = map_batches(classes, prefixes, "key long, salt int, role int, doc long, s0 long, s1 long, s2 long")
+    posts = posts.repartition(max(1, -(-n * most // POSTINGS)), "key", "salt")
+    left = posts.select("key", "salt", F.col("role").alias("asks"), F.col("doc").alias("a"), *[F.col(f"s{i}").alias(f"a{i}") for i in range(3)])
+    right = posts.select("key", "salt", F.col("role").alias("answers"), F.col("doc").alias("b"), *[F.col(f"s{i}").alias(f"b{i}") for i in range(3)])
     apart = _unequal(F.col("a0"), F.col("b0")) + _unequal(F.col("a1"), F.col("b1")) + _unequal(F.col("a2"), F.col("b2"))
-    met = left.join(right, "key").where((F.col("a") < F.col("b")) & (apart <= COORDINATES - MATCHES))
+    met = left.join(right, ["key", "salt"]).where((F.col("asks") <= 1) & (F.col("answers") != 1) & (F.col("a") < F.col("b")) & (apart <= COORDINATES - MATCHES))
     return met.select("a", "b").distinct()
 
 
@@ -231,13 +244,16 @@ def components(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             return labels
 
 
-def expand(members: DataFrame, pairs: DataFrame, limit: int = EXPAND) -> DataFrame:
+def expand(members: DataFrame, pairs: DataFrame, limit: int | None = EXPAND) -> DataFrame:
     """(chunk_id_a, chunk_id_b): the pairs of classes as pairs of chunks.
 
+    ``limit`` None expands every class, however many pairs that makes.
+
     Classes of at most ``limit`` copies are expanded, also among themselves. A larger class
     stands in other pairs by its least chunk_id only, and gives one pair of that with each other
     member; all further pairs follow from those.
     """
+    limit = (1 << 62) if limit is None else limit
     size = members.groupBy("doc").agg(F.count("*").alias("c"), F.min("chunk_id").alias("head"))
     linked = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).union(size.where("c > 1").select("doc")).distinct()
     # Only members of classes with a partner or a copy go on: a small part of the table.
