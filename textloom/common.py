@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,15 +39,35 @@ def shared_dir(spark: SparkSession) -> str:
     return held
 
 
+#: Folders of intermediate tables that have not been dropped.
+_written: list[str] = []
+
+
+@contextmanager
+def intermediates(spark: SparkSession) -> Iterator[None]:
+    """Drops the tables that ``materialize`` writes inside, at the end: to be put around the action
+    that consumes a result, as the result reads them."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        gone = _written[before:]
+        del _written[before:]
+        for path in gone:
+            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back; this cuts the lineage.
 
     The table is compressed and columnar, so later readers prune columns; it survives the loss
-    of executors, unlike a cache or a local checkpoint.
+    of executors, unlike a cache or a local checkpoint. See ``intermediates`` for its end.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

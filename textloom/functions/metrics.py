@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 
 import pandas as pd
@@ -58,12 +59,20 @@ def rouge_l(predict: list, label: list) -> float:
 _SCORES = T.StructType([T.StructField(n, T.DoubleType()) for n in ("bleu_4", "rouge_1", "rouge_2", "rouge_l")])
 
 
+_SEGMENT = re.compile(r"[㐀-鿿豈-﫿぀-ヿ가-힯]|[^\s㐀-鿿豈-﫿぀-ヿ가-힯]+")
+
+
+def segments(text: str) -> list[str]:
+    """Blank-separated words; of scripts without blanks, every character is one."""
+    return _SEGMENT.findall(text)
+
+
 @F.pandas_udf(_SCORES)
 def text_scores(predict: pd.Series, label: pd.Series) -> pd.DataFrame:
-    """Characters for BLEU, blank-separated words for ROUGE; an empty side gives 0."""
+    """Characters for BLEU, segments for ROUGE; an empty side gives 0."""
     out = []
     for p, r in zip(predict.fillna(""), label.fillna(""), strict=True):
-        a, b = p.split(), r.split()
+        a, b = segments(p), segments(r)
         out.append((round(bleu4(list(p), list(r)), 4), round(rouge_n(a, b, 1), 4), round(rouge_n(a, b, 2), 4), round(rouge_l(a, b), 4)))
     return pd.DataFrame(out, columns=["bleu_4", "rouge_1", "rouge_2", "rouge_l"])
 
@@ -91,3 +100,55 @@ def token_accuracy(pred: Column, labels: Column, ignore: int = -100) -> Column:
     n = F.size(labels) - 1
     pairs = F.filter(F.arrays_zip(F.slice(pred, F.lit(1), n).alias("p"), F.slice(labels, F.lit(2), n).alias("y")), lambda z: z["y"] != ignore)
     return F.try_divide(F.size(F.filter(pairs, lambda z: z["p"] == z["y"])).cast("double"), F.size(pairs))
+
+
+LETTERS = "ABCD"
+
+
+def chosen_letter(logits: Column, places: dict[str, int]) -> Column:
+    """The letter whose token has the greatest logit, of the vocabulary's ``places`` of the letters; the
+    first of equal ones."""
+    best = F.greatest(*[F.get(logits, F.lit(i)) for i in places.values()])
+    out = F.lit(None).cast("string")
+    for letter in reversed(places):
+        out = F.when(F.get(logits, F.lit(places[letter])) == best, F.lit(letter)).otherwise(out)
+    return out
+
+
+def accuracy_table(df, category: str, correct: Column, order: list[str] | None = None):
+    """(category, n, accuracy in percent) by category and ``Average`` over all rows; categories without
+    rows are left out, and ``order`` says which come first."""
+    rows = df.select(F.col(category).alias("category"), correct.cast("double").alias("c")).where("category is not null")
+    out = rows.rollup("category").agg(F.count("*").alias("n"), (100.0 * F.avg("c")).alias("accuracy")).withColumn("category", F.coalesce("category", F.lit("Average"))).where("n > 0")
+    if order is None:
+        return out
+    place = F.array_position(F.array(*map(F.lit, [*order, "Average"])), F.col("category"))
+    return out.orderBy(F.when(place == 0, len(order) + 2).otherwise(place), "category")
+
+
+def rates(rows: Column, batches: Column, seconds: Column) -> tuple[Column, Column]:
+    """Rows and batches a second; 0 where no time went by."""
+    per = lambda x: F.when(seconds > 0, x / seconds).otherwise(0.0)
+    return per(rows), per(batches)
+
+
+def percentile(df, by: list[str], value: Column, share: float, name: str):
+    """The exact interpolated percentile of each group: equal values are counted first, so what a group
+    gathers is its distinct values' running counts, cut into ranges, and not its rows."""
+    from pyspark.sql import Window
+
+    counts = df.groupBy(*by, value.alias("_v")).agg(F.count("*").alias("_c")).where("_v is not null")
+    total = counts.groupBy(*by).agg(F.sum("_c").alias("_n"))
+    # Buckets of values by their leading bits, so that only one bucket of a group is ever sorted.
+    bucket = F.floor(F.col("_v"))
+    by_bucket = counts.groupBy(*by, bucket.alias("_b")).agg(F.sum("_c").alias("_bc"))
+    before = by_bucket.withColumn("_before", F.coalesce(F.sum("_bc").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = (F.col("_n") - 1) * F.lit(share)
+    low, high = F.floor(at), F.ceil(at)
+    wanted = before.join(total, by).where((F.col("_before") <= high) & (F.col("_before") + F.col("_bc") > low))
+    inside = counts.withColumn("_b", bucket).join(wanted.select(*by, "_b", "_before", "_n"), [*by, "_b"])
+    run = Window.partitionBy(*by, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = inside.withColumn("_to", F.col("_before") + F.sum("_c").over(run)).withColumn("_from", F.col("_to") - F.col("_c"))
+    pick = lambda place: F.max(F.when((F.col("_from") <= place) & (F.col("_to") > place), F.col("_v")))
+    ends = inside.groupBy(*by).agg(pick(low).alias("_lo"), pick(high).alias("_hi"), F.max(at - low).alias("_f"))
+    return ends.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(name))

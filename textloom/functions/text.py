@@ -111,3 +111,116 @@ def timing(seconds: Column) -> Column:
     """H:MM:SS of whole seconds."""
     s = seconds.cast("long")
     return F.format_string("%d:%02d:%02d", F.floor(s / 3600), F.floor(s / 60) % 60, s % 60)
+
+
+_SLOT = r"\{\{[a-zA-Z_][a-zA-Z0-9_]*\}\}"
+
+
+def has_slot(form: Column) -> Column:
+    """Whether a form holds a slot; one with content needs one, one without must have none."""
+    return form.rlike(_SLOT)
+
+
+def add_thought(text: Column, thought: str = "", start: str = "<think>", end: str = "</think>") -> Column:
+    """The text after a marked thought, empty by default."""
+    return F.concat(F.lit(f"{start}\n{thought}\n{end}\n\n"), text)
+
+
+def longest_difference(short: str, long: str) -> str:
+    """The characters of ``long`` that are left when ``short`` is matched in it, in order, as far as it
+    goes; what follows the end of the match is not part of it."""
+    out, wanted = [], iter(short)
+    need = next(wanted, None)
+    for c in long:
+        if need is None:
+            break
+        if c == need:
+            need = next(wanted, None)
+        else:
+            out.append(c)
+    return "".join(out)
+
+
+# --- fixed values: the prompt around an abstract --------------------------------------------------------------
+ABSTRACT_PROMPT = '\n            Analyze the given abstract and classify the paper\n\n            ABSTRACT INPUT:\n            """\n            {abstract}\n            """\n        '
+
+
+def prompt_of(abstract: str | None) -> str:
+    return ABSTRACT_PROMPT.replace("{abstract}", abstract or "")
+
+
+def wrapped(abstract: Column) -> Column:
+    before, after = ABSTRACT_PROMPT.split("{abstract}")
+    return F.concat(F.lit(before), F.coalesce(abstract, F.lit("")), F.lit(after))
+
+
+def split_fields(schema: str) -> list[str]:
+    """The fields of a schema in DDL, split at its outer commas."""
+    out, depth, at = [], 0, 0
+    for i, c in enumerate(schema + ","):
+        depth += (c in "<(") - (c in ">)")
+        if c == "," and depth == 0:
+            out.append(schema[at:i].strip())
+            at = i + 1
+    return [x for x in out if x]
+
+
+def listed(text: Column) -> Column:
+    """The parts of a comma list, trimmed."""
+    return F.transform(F.split(text, ","), lambda x: F.trim(x))
+
+
+#: Options that are shown even when they are off.
+SHOWN = ("packing", "enable_thinking", "use_reentrant_gc", "double_quantization", "freeze_vision_tower", "freeze_multi_modal_projector")
+
+
+def command(program: str, options: dict) -> str:
+    """A command line over several lines, in a fenced block; options without a value are left out."""
+    import json
+
+    word = lambda v: json.dumps(v, ensure_ascii=False) if isinstance(v, dict) else " ".join(map(str, v)) if isinstance(v, list) else str(v)
+    kept = [f"    --{k} {word(v)} " for k, v in options.items() if k in SHOWN or not (v is None or v is False or v == "")]
+    return "```bash\n" + "\\\n".join([f"{program} ", *kept]) + "\n```"
+
+
+def payload(system: Column, user: Column) -> Column:
+    """The messages of a call: system and user."""
+    part = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
+    return F.array(part("system", system), part("user", user))
+
+
+# --- fixed values: how text is generated unless the options say otherwise -----------------------------------------
+GENERATION = {"temperature": 0.1, "top_p": 0.9, "frequency_penalty": 1.0}
+
+
+def generation(options: dict) -> dict:
+    """The options of a generation with defaults; ``max_tokens`` must be given."""
+    if "max_tokens" not in options:
+        raise ValueError("max_tokens is missing")
+    return {**GENERATION, **options}
+
+
+def public_url(url: Column) -> Column:
+    """Whether a url is http or https and its host is no local name and no private, local or reserved
+    address in numbers. Names are not resolved here."""
+    scheme, host = F.lower(F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)), F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@]*@)?(\[[^\]]*\]|[^/:?#]+)", 1))
+    private = host.rlike(r"^(?:0|10|127)\.|^169\.254\.|^192\.168\.|^192\.0\.[02]\.|^172\.(?:1[6-9]|2\d|3[01])\.|^100\.(?:6[4-9]|[7-9]\d|1[01]\d|12[0-7])\.|^198\.(?:1[89]|51\.100)\.|^203\.0\.113\.|^(?:22[4-9]|2[3-5]\d)\.|^\[(?:::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)\]$|^localhost$|\.local$|\.internal$|^\d+$")
+    return F.coalesce(scheme.isin("http", "https") & (host != "") & ~private, F.lit(False))
+
+
+def inside_folder(path: Column, folder: str) -> Column:
+    """Whether a path stays under a folder: absolute, without steps up."""
+    base = folder.rstrip("/") + "/"
+    return F.coalesce(path.startswith(base) & ~path.rlike(r"(?:^|/)\.\.(?:/|$)") & ~path.contains("\x00"), F.lit(False))
+
+
+def day(date: Column) -> Column:
+    """A date as in tool prompts: 05 Mar 2024."""
+    return F.date_format(date, "dd MMM yyyy")
+
+
+def key_uuid(*parts: Column) -> Column:
+    """A uuid made of a row's key, the same at every run, unlike a random one."""
+    h = F.md5(F.concat_ws("\x1f", *parts))
+    v = F.concat(F.substring(h, 1, 12), F.lit("3"), F.substring(h, 14, 3), F.lit("8"), F.substring(h, 18, 15))
+    return F.concat_ws("-", F.substring(v, 1, 8), F.substring(v, 9, 4), F.substring(v, 13, 4), F.substring(v, 17, 4), F.substring(v, 21, 12))

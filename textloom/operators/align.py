@@ -72,34 +72,86 @@ def split_system(conversation: Column) -> tuple[Column, Column]:
     return F.when(leads, F.get(conversation, F.lit(0))["content"]).otherwise(""), F.when(leads, F.slice(conversation, 2, F.greatest(F.size(conversation) - 1, F.lit(0)))).otherwise(conversation)
 
 
-def align_sharegpt(df: DataFrame, keep: list[str] = (), column: str = "conversations", role: str = "from", content: str = "value") -> DataFrame:
-    """Dialogues with tags; a leading system turn is the system prompt unless a column has one."""
+def _aligned(df: DataFrame, keep: list[str], msgs: Column, system: Column, role: str, content: str, ranking: bool) -> DataFrame:
+    """Sound dialogues as prompt and response; the rest with both empty. A tag comes before a pair,
+    a pair (in ranking datasets) before the last turn as response."""
+    held = df.select(*keep, *[c for c in ("kto_tag", "chosen", "rejected") if _has(df, c) and c not in keep], msgs.alias("_m"), system.alias("_system"), (F.coalesce(F.col("tools"), F.lit("")) if _has(df, "tools") else F.lit("")).alias("_tools"))
+    last = F.slice("_m", F.greatest(F.size("_m"), F.lit(1)), F.lit(1))
+    init = F.slice("_m", F.lit(1), F.greatest(F.size("_m") - 1, F.lit(0)))
+    good = is_sound(F.col("_m"), ranking)
+    prompt, response = init, last
+    if ranking and _has(df, "chosen") and _has(df, "rejected"):
+        tag = F.create_map(*[F.lit(x) for kv in TAGS.items() for x in kv])
+        side = lambda n: message(F.try_element_at(tag, F.col(n)[role]), F.col(n)[content])
+        answers = lambda n: F.coalesce(F.try_element_at(tag, F.col(n)[role]).isin("assistant", "function"), F.lit(False))
+        pair = F.col("chosen").isNotNull() & F.col("rejected").isNotNull()
+        # A pair of which one side is no answer has no place in either result.
+        good = good & (~pair | (answers("chosen") & answers("rejected")))
+        prompt = F.when(pair, F.col("_m")).otherwise(prompt)
+        response = F.when(pair, F.array(side("chosen"), side("rejected"))).otherwise(response)
+    if _has(df, "kto_tag"):
+        blank = F.array(message("assistant", F.lit("")))
+        prompt = F.when(F.col("kto_tag").isNotNull(), init).otherwise(prompt)
+        response = F.when(F.col("kto_tag"), F.concat(last, blank)).when(~F.col("kto_tag"), F.concat(blank, last)).otherwise(response)
+    return held.select(*keep, F.when(good, prompt).otherwise(_empty()).alias("_prompt"), F.when(good, response).otherwise(_empty()).alias("_response"), "_system", "_tools")
+
+
+def align_sharegpt(df: DataFrame, keep: list[str] = (), column: str = "conversations", role: str = "from", content: str = "value", ranking: bool = False) -> DataFrame:
+    """Dialogues with tags; a leading system turn is the system prompt, else the column ``system``."""
     lead, msgs = split_system(turns(F.col(column), role, content))
-    held = df.select(*keep, msgs.alias("_m"), (F.coalesce(F.nullif(F.col("system"), F.lit("")), lead) if _has(df, "system") else lead).alias("_system"), (F.coalesce(F.col("tools"), F.lit("")) if _has(df, "tools") else F.lit("")).alias("_tools"))
-    good = is_sound(F.col("_m"))
-    prompt = F.when(good, F.slice("_m", F.lit(1), F.greatest(F.size("_m") - 1, F.lit(0)))).otherwise(_empty())
-    response = F.when(good, F.slice("_m", F.greatest(F.size("_m"), F.lit(1)), F.lit(1))).otherwise(_empty())
-    return held.select(*keep, prompt.alias("_prompt"), response.alias("_response"), "_system", "_tools")
+    system = F.coalesce(F.nullif(lead, F.lit("")), F.col("system"), F.lit("")) if _has(df, "system") else lead
+    return _aligned(df, keep, msgs, system, role, content, ranking)
+
+
+def json_text(x: Column) -> Column:
+    """A text as a JSON string."""
+    j = F.to_json(F.array(x))
+    return F.substring(j, F.lit(2), F.length(j) - 2)
 
 
-def fold_tools(msgs: Column) -> Column:
-    """Consecutive tool messages as one observation; those after the last other message are lost."""
+def json_calls(calls: Column) -> Column:
+    """array<struct<function: struct<name, arguments>>> as a JSON list of those functions."""
+    one = lambda c: F.concat(F.lit('{"name": '), json_text(c["function"]["name"]), F.lit(', "arguments": '), json_text(c["function"]["arguments"]), F.lit("}"))
+    return F.concat(F.lit("["), F.array_join(F.transform(calls, one), ", "), F.lit("]"))
+
+
+def fold_tools(msgs: Column, calls: bool = False) -> Column:
+    """Consecutive tool messages as one observation; those after the last other message are lost.
+    ``calls``: answers with tool_calls become function messages with those calls in JSON."""
     state = "struct<out:array<struct<role:string,content:string>>,wait:array<string>>"
     glue = "\n</tool_response>\n<tool_response>\n"
 
+    def own(m: Column) -> Column:
+        plain = message(m["role"], m["content"])
+        if not calls:
+            return plain
+        called = m["role"].isin("assistant", "gpt", "function_call", "function") & (F.coalesce(F.size(m["tool_calls"]), F.lit(0)) > 0)
+        return F.when(called, message("function_call", json_calls(m["tool_calls"]))).otherwise(plain)
+
     def step(s: Column, m: Column) -> Column:
         flushed = F.when(F.size(s["wait"]) > 0, F.concat(s["out"], F.array(message("observation", F.array_join(s["wait"], glue))))).otherwise(s["out"])
         return F.when(m["role"].isin("tool", "observation"), F.struct(s["out"].alias("out"), F.concat(s["wait"], F.array(m["content"])).alias("wait"))).otherwise(
-            F.struct(F.concat(flushed, F.array(message(m["role"], m["content"]))).alias("out"), F.array().cast("array<string>").alias("wait"))
+            F.struct(F.concat(flushed, F.array(own(m))).alias("out"), F.array().cast("array<string>").alias("wait"))
         ).cast(state)
 
     start = F.struct(F.array().cast(NONE).alias("out"), F.array().cast("array<string>").alias("wait")).cast(state)
     return F.aggregate(F.coalesce(msgs, F.array()), start, step)["out"]
 
 
-def align_openai(df: DataFrame, keep: list[str] = (), column: str = "messages") -> DataFrame:
-    """Messages of role and content, with tool messages merged, then as dialogues."""
-    return align_sharegpt(df.withColumn(column, fold_tools(F.col(column))), keep, column, "role", "content")
+def align_openai(df: DataFrame, keep: list[str] = (), column: str = "messages", ranking: bool = False) -> DataFrame:
+    """Messages of role, content and optional tool_calls, with tool messages merged, as dialogues.
+
+    Without tools the system prompt ends in "detailed thinking off" unless it says which itself;
+    with tools a line end closes it.
+    """
+    fields = df.schema[column].dataType.elementType.fieldNames()
+    lead, msgs = split_system(turns(fold_tools(F.col(column), "tool_calls" in fields), "role", "content"))
+    given = F.coalesce(F.nullif(lead, F.lit("")), F.col("system"), F.lit("")) if _has(df, "system") else F.coalesce(lead, F.lit(""))
+    tools = F.coalesce(F.col("tools"), F.lit("")) if _has(df, "tools") else F.lit("")
+    # --- fixed values: the switch of a long or short way of thinking ---
+    off, says = "detailed thinking off", given.contains("detailed thinking on") | given.contains("detailed thinking off")
+    system = F.when(tools != "", F.when(given == "", "").otherwise(F.concat(given, F.lit("\n")))).otherwise(F.when(given == "", off).when(says, given).otherwise(F.concat(given, F.lit(f"\n{off}"))))
+    return _aligned(df, keep, msgs, system, "role", "content", ranking)
 
 
 def v1_alpaca(df: DataFrame, keep: list[str] = ()) -> DataFrame:
@@ -127,19 +179,92 @@ def valid(stage: str) -> Column:
     return {"sft": odd & (F.size("_response") == 1), "rm": odd & (F.size("_response") >= 2), "kto": odd & (F.size("_response") >= 2), "generate": odd}[stage]
 
 
+TYPED = "array<struct<role:string,content:array<struct<type:string,value:string>>,loss_weight:double>>"
+
+
+def _json_items(text: Column) -> Column:
+    """The elements of a JSON list as texts, or the one object that it is; NULL for other text."""
+    t = F.trim(text)
+    parsed = F.when(F.try_parse_json(t).isNotNull(), t)
+    items = F.from_json(F.when(parsed.startswith("["), parsed).otherwise(F.concat(F.lit("["), parsed, F.lit("]"))), "array<string>")
+    return F.when(parsed.isNotNull(), items)
+
+
+def _typed(role: Column, kind: str, values: Column, weight: Column) -> Column:
+    content = F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), v.alias("value")))
+    return F.struct(role.alias("role"), content.alias("content"), weight.alias("loss_weight"))
+
+
+def _typed_dialogue(msgs: Column, calls: str) -> Column:
+    """Typed messages; those of the role ``calls`` hold calls in JSON and are dropped where it is bad."""
+    weight = lambda m: F.when(m["role"].isin("assistant", "function"), 1.0).otherwise(0.0)
+    role = lambda m: F.when(m["role"] == "function", "assistant").when(m["role"] == "observation", "tool").otherwise(m["role"])
+    one = lambda m: F.when(m["role"] == calls, F.when(_json_items(m["content"]).isNotNull(), _typed(role(m), "tool_call", _json_items(m["content"]), weight(m)))).otherwise(_typed(role(m), "text", F.array(m["content"]), weight(m)))
+    return F.array_compact(F.transform(F.coalesce(msgs, F.array().cast(NONE)), one)).cast(TYPED)
+
+
+def sound_json(text: Column) -> Column:
+    """The text where it is JSON; else NULL."""
+    return F.when(F.try_parse_json(text).isNotNull(), text)
+
+
 def v1_sharegpt(df: DataFrame, keep: list[str] = (), column: str = "conversations") -> DataFrame:
-    """Typed messages of a dialogue; unknown tags are skipped and nothing is checked. Only answers
-    (assistant and function) have weight 1."""
+    """Typed messages of a dialogue; unknown tags and calls in bad JSON are skipped, nothing else is
+    checked. Answers and calls have weight 1. Tools in bad JSON are NULL."""
+    tools = sound_json(F.col("tools")) if _has(df, "tools") else F.lit(None).cast("string")
     msgs = F.filter(turns(F.col(column)), lambda m: m["role"].isNotNull())
-    typed = F.transform(
-        msgs,
-        lambda m: F.struct(
-            F.when(m["role"] == "function", "assistant").when(m["role"] == "observation", "tool").otherwise(m["role"]).alias("role"),
-            F.array(F.struct(F.when(m["role"] == "function", "tool_call").otherwise("text").alias("type"), m["content"].alias("value"))).alias("content"),
-            F.when(m["role"].isin("assistant", "function"), 1.0).otherwise(0.0).alias("loss_weight"),
-        ),
-    )
-    return df.select(*keep, typed.alias("messages"))
-
-
-CONVERTERS["v1_sharegpt"] = v1_sharegpt
+    return df.select(*keep, _typed_dialogue(msgs, "function").alias("messages"), tools.alias("tools"))
+
+
+def v1_pair(df: DataFrame, keep: list[str] = (), chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
+    """chosen_messages and rejected_messages, typed; the role ``tool`` holds calls."""
+    tools = sound_json(F.col("tools")) if _has(df, "tools") else F.lit(None).cast("string")
+    side = lambda n: _typed_dialogue(F.transform(F.coalesce(F.col(n), F.array().cast(NONE)), lambda m: message(m["role"], m["content"])), "tool")
+    return df.select(*keep, side(chosen).alias("chosen_messages"), side(rejected).alias("rejected_messages"), tools.alias("tools"))
+
+
+def is_pair(df: DataFrame) -> bool:
+    """Whether a dataset has the columns of pairs."""
+    return {"chosen_messages", "rejected_messages"} <= set(df.columns)
+
+
+CONVERTERS["v1_sharegpt"], CONVERTERS["v1_pair"] = v1_sharegpt, v1_pair
+
+# --- fixed values: marks of media in a text ---------------------------------------------------------------
+MEDIA = {"image_url": "<image>", "video_url": "<video>", "audio_url": "<audio>"}
+REQUEST_ROLES = {"user": "user", "assistant": "assistant", "system": "system", "function": "function", "tool": "observation"}
+
+
+def requests(df: DataFrame, keep: list[str] = (), column: str = "messages") -> DataFrame:
+    """(system, messages, error) of chat requests: array<struct<role, content, parts:
+    array<struct<type, text, url>>, tool_calls>>, of which parts and tool_calls may be missing.
+
+    A leading system message is taken out (its first part's text, where it has parts). Parts become
+    one text with a mark for each medium. ``error``: "Invalid length" (no message), "Only supports
+    u/a/u/a/u..." (an even number), "Invalid role", "Invalid input type"; then messages is NULL.
+    """
+    fields = df.schema[column].dataType.elementType.fieldNames()
+    raw = F.coalesce(F.col(column), F.array())
+    has = lambda m, n: F.coalesce(F.size(m[n]), F.lit(0)) > 0
+    lead = F.get(raw, F.lit(0))
+    led = F.coalesce(lead["role"] == "system", F.lit(False))
+    text = F.when(has(lead, "parts"), F.get(lead["parts"], F.lit(0))["text"]).otherwise(lead["content"]) if "parts" in fields else lead["content"]
+    rest = F.when(led, F.slice(raw, F.lit(2), F.greatest(F.size(raw) - 1, F.lit(0)))).otherwise(raw)
+    marks = F.create_map(*[F.lit(x) for kv in MEDIA.items() for x in kv])
+    names = F.create_map(*[F.lit(x) for kv in REQUEST_ROLES.items() for x in kv])
+
+    def one(m: Column) -> Column:
+        content = m["content"]
+        if "parts" in fields:
+            flat = F.array_join(F.transform(m["parts"], lambda p: F.when(p["type"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.try_element_at(marks, p["type"]))), "")
+            content = F.when(has(m, "parts"), flat).otherwise(content)
+        plain = message(F.try_element_at(names, m["role"]), content)
+        if "tool_calls" not in fields:
+            return plain
+        return F.when((m["role"] == "assistant") & has(m, "tool_calls"), message("function", json_calls(m["tool_calls"]))).otherwise(plain)
+
+    placed = F.forall(F.transform(F.col("_r"), lambda m, i: F.coalesce(F.when(i % 2 == 0, m["role"].isin("user", "tool")).otherwise(m["role"].isin("assistant", "function")), F.lit(False))), lambda x: x)
+    fine = F.forall(F.col("_r"), lambda m: F.forall(F.coalesce(m["parts"], F.array().cast("array<struct<type:string,text:string,url:string>>")), lambda p: F.coalesce((p["type"] == "text") | F.try_element_at(marks, p["type"]).isNotNull(), F.lit(False)))) if "parts" in fields else F.lit(True)
+    error = F.when(F.size(raw) == 0, "Invalid length").when(F.size("_r") % 2 == 0, "Only supports u/a/u/a/u...").when(~placed, "Invalid role").when(~fine, "Invalid input type")
+    held = df.select(*keep, raw.alias(column), F.when(led, text).alias("system"), rest.alias("_r")).withColumn("error", error)
+    return held.select(*keep, "system", F.when(F.col("error").isNull(), F.transform("_r", one)).alias("messages"), "error")

@@ -26,11 +26,31 @@ def interleave_under(rows: DataFrame) -> DataFrame:
     return rows.crossJoin(F.broadcast(rows.agg(F.min("n").alias("least")))).where("rn < least").drop("least")  # one row
 
 
+#: A row that is repeated more often than this is spread over as many rows as it has such rounds.
+ROUNDS = 4096
+
+
+def repeated(rows: DataFrame, times: Column, name: str) -> DataFrame:
+    """Each row ``times`` times, numbered from 0 in ``name``.
+
+    A row that is repeated very often first becomes a row for each ROUNDS repeats and is dealt out to
+    all tasks, so no task writes more than ROUNDS copies of a row it is given.
+    """
+    held = rows.withColumn("_times", times.cast("long")).where("_times > 0")
+    blocks = held.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_times") - 1) / ROUNDS))))
+    few, many = blocks.where(F.col("_times") <= ROUNDS), blocks.where(F.col("_times") > ROUNDS).repartition("_block")
+    spread = few.unionByName(many)
+    last = F.least(F.col("_times") - F.col("_block") * ROUNDS, F.lit(ROUNDS)) - 1
+    spread = spread.withColumn("_in", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return spread.withColumn(name, F.col("_block") * ROUNDS + F.col("_in")).drop("_times", "_block", "_in")
+
+
 def interleave_over(rows: DataFrame) -> DataFrame:
     """Round robin until the longest source ends; shorter ones begin again. ``pos`` is the round."""
     most = rows.agg(F.max("n").alias("most"))
     again = rows.crossJoin(F.broadcast(most))  # one row
-    return again.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("most") - 1 - F.col("rn")) / F.col("n")))).alias("turn")).withColumn("pos", F.col("turn") * F.col("n") + F.col("rn")).drop("turn", "most")
+    out = repeated(again, F.floor((F.col("most") - 1 - F.col("rn")) / F.col("n")) + 1, "turn")
+    return out.withColumn("pos", F.col("turn") * F.col("n") + F.col("rn")).drop("turn", "most")
 
 
 def interleave_drawn(rows: DataFrame, weights: dict[str, float], source: str, seed: int, default: float = 1.0) -> DataFrame:
@@ -60,5 +80,5 @@ def resample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     rows = with_ordinal(df.withColumn("_h", shuffle_key(seed, F.col(key))), ["_h", key])
     total = df.agg(F.count("*").alias("_total"))
     copies = rows.crossJoin(F.broadcast(total))  # one row
-    times = F.floor((F.lit(n) - 1 - F.col("_ord")) / F.col("_total"))
-    return copies.where(F.col("_ord") < n).select("*", F.explode(F.sequence(F.lit(0).cast("long"), times)).alias("copy")).drop("_h", "_ord", "_total")
+    times = F.floor((F.lit(n) - 1 - F.col("_ord")) / F.col("_total")) + 1
+    return repeated(copies.where(F.col("_ord") < n), times, "copy").drop("_h", "_ord", "_total")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -123,17 +124,22 @@ def with_ordinal(df: DataFrame, order: list[str], group: str | None = None, name
             if not n:
                 continue
             if at is None:
-                no = 0
-                runs, places = [0] * n, list(range(pos, pos + n))
-                pos += n
+                ends, values = np.array([n]), [None]
             else:
-                runs, places = [], []
-                for g in batch.column(at).to_pylist():
-                    if no < 0 or g != held:
-                        held, no, pos = g, no + 1, 0
-                    runs.append(no)
-                    places.append(pos)
-                    pos += 1
+                col = batch.column(at)
+                same = pc.or_kleene(pc.equal(col[1:], col[:-1]), pc.and_(pc.is_null(col[1:]), pc.is_null(col[:-1]))).fill_null(False)
+                ends = np.append(np.flatnonzero(~same.to_numpy(zero_copy_only=False)) + 1, n)
+                values = col.take(pa.array(ends - 1)).to_pylist()
+            starts = np.concatenate([[0], ends[:-1]])
+            goes_on = no >= 0 and values[0] == held
+            first = no if goes_on else no + 1
+            sizes = ends - starts
+            runs = np.repeat(np.arange(first, first + len(ends)), sizes)
+            places = np.arange(n) - np.repeat(starts, sizes)
+            if goes_on:
+                places[: sizes[0]] += pos
+            held, no = values[-1], int(runs[-1])
+            pos = int(places[-1]) + 1
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * n, pa.int32()), pa.array(runs, pa.int32()), pa.array(places, pa.int64())], schema.fieldNames())
 
     rows = materialize(src.mapInArrow(run, schema), "ordinal")

@@ -33,3 +33,24 @@ def oldest(df: DataFrame, group: str, order: list[str], n: int) -> DataFrame:
     """The first ``n`` rows of each group with their place; the limit runs before the shuffle."""
     w = Window.partitionBy(group).orderBy(*[F.col(c).asc_nulls_first() for c in order])
     return df.withColumn("place", F.row_number().over(w)).where(F.col("place") <= n)
+
+
+def history(df: DataFrame, session: str | None = None, user: str | None = None) -> DataFrame:
+    """The messages of a session, of a user, or of both; equality in the scan, so files can be skipped."""
+    for column, value in (("session_id", session), ("user_id", user)):
+        if value is not None:
+            df = df.where(F.col(column) == value)
+    return df
+
+
+def write_indexed(df: DataFrame, path: str, columns: list[str], partitions: int | None = None) -> None:
+    """A table sorted by ``columns`` in ranges, so that a filter on them skips files by their statistics;
+    what an index of those columns is for."""
+    by = [F.col(c).asc_nulls_first() for c in columns]
+    rows = df.repartitionByRange(partitions, *by) if partitions else df.repartitionByRange(*by)
+    rows.sortWithinPartitions(*by).write.mode("overwrite").parquet(path)
+
+
+def stamped(df: DataFrame, column: str = "created_at") -> DataFrame:
+    """``df`` with the time of the query where the column is missing or NULL."""
+    return df.withColumn(column, F.coalesce(F.col(column), F.current_timestamp()) if column in df.columns else F.current_timestamp())

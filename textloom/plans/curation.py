@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as X
-from textloom.operators.sequence import with_ordinal
 from textloom.operators.store import first_per_key
 
 
@@ -33,5 +32,46 @@ def curate(raw: DataFrame, outputs: DataFrame, year: int = X.YEAR) -> DataFrame:
 
 
 def quota(accepted: DataFrame, key: str, most: int = X.QUOTA, prior: int = 0) -> DataFrame:
-    """The first rows by key until, with ``prior`` earlier ones, the quota is full."""
-    return with_ordinal(accepted, [key]).where(F.col("_ord") < most - prior).drop("_ord")
+    """The first rows by key until, with ``prior`` earlier ones, the quota is full; each task keeps
+    no more than the quota."""
+    return accepted.orderBy(F.col(key).asc_nulls_first()).limit(max(0, most - prior))
+
+
+def entities(df: DataFrame, column: str = "entities", least: float = X.CONFIDENCE) -> DataFrame:
+    """``df`` with the texts of the entities of at least this confidence; NULL lists have none."""
+    kept = F.filter(F.coalesce(F.col(column), F.array().cast("array<struct<text:string,confidence:double>>")), lambda e: e["confidence"] >= least)
+    return df.withColumn(column, F.transform(kept, lambda e: e["text"]))
+
+
+def classify(df: DataFrame, model, schema: str, text: str = "abstract") -> DataFrame:
+    """``df`` with the fields of ``schema`` that ``model`` gives for a text as JSON.
+
+    ``model`` is a function from a list of prompts to a list of JSON texts, called once a batch in the
+    executors. Where it fails or gives no JSON object, flags and maps are empty and ``error_message``
+    says why.
+    """
+    import json
+
+    import pandas as pd
+
+    names = [f.split()[0] for f in X.split_fields(schema)]
+    out = ", ".join([f"{f} {t}" for f, t in df.dtypes] + [schema, "error_message string"])
+
+    def run(batches):
+        for pdf in batches:
+            prompts = [X.prompt_of(t) for t in pdf[text]]
+            try:
+                answers = list(model(prompts))
+            except Exception as e:  # a failed call is a row's error, not the job's
+                answers = [e] * len(prompts)
+            rows = []
+            for a in answers:
+                try:
+                    got = json.loads(a) if not isinstance(a, Exception) else None
+                    rows.append({n: got.get(n) for n in names} | {"error_message": None} if isinstance(got, dict) else {"error_message": str(a) if isinstance(a, Exception) else "no JSON object"})
+                except ValueError as e:
+                    rows.append({"error_message": str(e)})
+            got = pd.DataFrame(rows, columns=[*names, "error_message"], index=pdf.index, dtype=object)
+            yield pd.concat([pdf, got], axis=1)
+
+    return df.mapInPandas(run, out)

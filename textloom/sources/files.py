@@ -113,3 +113,36 @@ def json_array(df: DataFrame, order: list[str]) -> DataFrame:
     last = df.agg((F.count("*") - 1).alias("_last"))
     own = F.to_json(F.struct(*df.columns))
     return rows.crossJoin(F.broadcast(last)).select("_ord", F.concat(F.when(F.col("_ord") == 0, "[\n").otherwise(""), F.lit("  "), own, F.when(F.col("_ord") == F.col("_last"), "\n]").otherwise(",")).alias("value"))  # one row
+
+
+def for_stage(datasets: dict[str, Dataset], stage: str) -> list[str]:
+    """The names to offer at a stage: ranking datasets for rm and dpo, the others elsewhere."""
+    return [n for n, d in datasets.items() if d.ranking == (stage in ("rm", "dpo"))]
+
+
+def check_stage(dataset: Dataset, stage: str) -> None:
+    """Ranking datasets serve stage rm only, and no others do."""
+    if (stage == "rm") != dataset.ranking:
+        raise ValueError(f"{dataset.name} is {'a' if dataset.ranking else 'no'} ranking dataset, which stage {stage} does not take")
+
+
+def head(df: DataFrame, order: list[str], most: int | None) -> DataFrame:
+    """The first ``most`` rows by ``order``; all for None. Each task keeps no more than those."""
+    return df if most is None else df.orderBy(*order).limit(most)
+
+
+def tail_text(spark: SparkSession, path: str, characters: int = 20_000) -> str:
+    """The last characters of a log; only the end of its last file is read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop):
+        return ""
+    size = fs.getFileStatus(hadoop).getLen()
+    stream = fs.open(hadoop)
+    try:
+        begin = max(0, size - 4 * characters)  # a character has up to four bytes
+        stream.seek(begin)
+        data = bytes(b & 0xFF for b in stream.readNBytes(int(size - begin)))
+    finally:
+        stream.close()
+    return data.decode("utf-8", "ignore")[-characters:]
