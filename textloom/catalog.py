@@ -66,29 +66,6 @@ def retrieval_topk_filtered(spark, sf_dir):
     return _nearest(vecs.where("label = 3"), vecs.where("vec_id = 0").select(F.col("v").alias("q")), 5)
 
 
-@query("""with q as (select label as query, min(vec_id) as id from embeddings group by 1), v as (select query, embedding from q join embeddings on vec_id = id),
-    d as (select query, e.vec_id, round(list_cosine_distance(e.embedding::double[], v.embedding::double[]), 6) as distance from embeddings e, v)
-    select query, vec_id, distance, cast(rank as integer) as rank from (select *, row_number() over (partition by query order by distance, vec_id) as rank from d) where rank <= 5""")
-def retrieval_multi_query(spark, sf_dir):
-    vecs = _vectors(spark, sf_dir)
-    heads = vecs.groupBy("label").agg(F.min_by("v", "vec_id").alias("q")).select(F.col("label").alias("query"), "q")
-    d = vecs.join(F.broadcast(heads)).select("query", "vec_id", F.round(cosine_distance(F.col("v"), F.col("q")), 6).alias("distance"))  # a stated query set, one row a label
-    return d.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))).where("rank <= 5")
-
-
-@query("""with v as (select chunk_id, any_value(embedding)::double[] e from chunk_embeddings where chunk_id is not null group by 1),
-    u as (select * from v where len(e) = 64 and list_bool_and(list_transform(e, lambda x: x is not null and isfinite(x))) and list_bool_or(list_transform(e, lambda x: x <> 0))),
-    q as (select e from u order by chunk_id limit 1)
-    select chunk_id, round(list_cosine_distance(u.e, q.e), 6) as distance from u, q order by 2, 1 limit 10""")
-def chunk_search(spark, sf_dir):
-    from textloom.operators.vector import usable
-
-    rows = read(spark, sf_dir, "chunk_embeddings").where("chunk_id is not null").select("chunk_id", F.col("embedding").cast("array<double>").alias("v")).where(usable("v", 64))
-    one = rows.groupBy("chunk_id").agg(F.min("v").alias("v"))
-    q = rows.orderBy("chunk_id").limit(1).select(F.col("v").alias("q"))
-    return one.join(F.broadcast(q)).select("chunk_id", F.round(cosine_distance(F.col("v"), F.col("q")), 6).alias("distance")).orderBy("distance", "chunk_id").limit(10)  # one row
-
-
 # --- papers ------------------------------------------------------------------------------------------------
 
 _SPACE_SQL = r"[\s\x1c-\x1f\x{85}\p{Z}]+"
@@ -256,12 +233,6 @@ def mix_once(spark, sf_dir):
     return with_ordinal(_sources(spark, sf_dir), ["rn", "source_ord"], name="pos").select("pos", "doc_id")
 
 
-@query()
-def mix_drawn(spark, sf_dir):
-    rows = MX.interleave_drawn(_sources(spark, sf_dir), {"en": 2.0, "de": 1.0, "fr": 1.0, "es": 1.0}, "source", 42)
-    return with_ordinal(rows, ["pos", "doc_id"], name="place").select("place", "doc_id", "source")
-
-
 @query("""select doc_id, case when row_number() over (order by md5('42:' || doc_id), doc_id) <= (select ceil(count(*) * 0.1) from documents) then 'validation' else 'train' end as split from documents""")
 def split_train_val(spark, sf_dir):
     return MX.split(read(spark, sf_dir, "documents").select("doc_id"), "doc_id", 0.1, 42)
@@ -345,18 +316,6 @@ def pretrain_pack(spark, sf_dir):
     return blocks.select("batch", "block", F.md5(text).alias("digest"))
 
 
-@query()
-def knapsack_pack(spark, sf_dir):
-    rows = with_ordinal(_pairs(spark, sf_dir), ["id"]).select("id", "_ord", E.token_ids(F.concat_ws(" ", "prompt", "reply")).alias("t"))
-    return E.pack_sft(rows, "id", F.col("t"), F.col("t"), 256)
-
-
-@query()
-def dynamic_batching(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).select(F.pmod(F.col("id"), F.lit(16)).alias("shard"), "id", F.size(E.token_ids(F.col("reply"))).alias("length"))
-    return E.dynamic_batches(rows, "shard", "id", "length", 512)
-
-
 # --- metrics ---------------------------------------------------------------------------------------------
 
 @query("""select cast(n_chars // 1000 * 1000 as bigint) as bucket, count(*) as n, cast(sum(count(*)) over (order by n_chars // 1000 * 1000) as bigint) as running, round(100.0::double * sum(count(*)) over (order by n_chars // 1000 * 1000) / sum(count(*)) over (), 6) as percent from documents group by n_chars // 1000 * 1000""")
@@ -384,37 +343,6 @@ def mc_accuracy_by_category(spark, sf_dir):
     return rows.rollup("category").agg(F.count("*").alias("n"), F.round(100.0 * F.avg(F.col("correct").cast("int")), 6).alias("accuracy")).withColumn("category", F.coalesce("category", F.lit("Average")))
 
 
-_LP = "select vec_id, embedding[1]::double as a, embedding[2]::double as b, embedding[3]::double as c, embedding[4]::double as d from embeddings"
-
-
-def _logps(spark, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").select("vec_id", *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate("abcd")])
-
-
-@query(f"select round(avg(case when a > b then 1.0::double else 0 end), 9) as accuracy, round(avg(ln(1 + exp(-(a - b)))), 6) as loss from ({_LP})")
-def reward_accuracy(spark, sf_dir):
-    a, b = F.col("a"), F.col("b")
-    return _logps(spark, sf_dir).agg(F.round(F.avg((a > b).cast("int")), 9).alias("accuracy"), F.round(F.avg(L.reward_pair(a, b)), 6).alias("loss"))
-
-
-@query(f"select vec_id, round(ln(1 + exp(-0.1::double * ((a - b) - (c - d)))), 6) as loss, round(0.1::double * (a - c), 6) as chosen_reward, round(0.1::double * (b - d), 6) as rejected_reward from ({_LP})")
-def dpo_loss(spark, sf_dir):
-    a, b, c, d = (F.col(x) for x in "abcd")
-    return _logps(spark, sf_dir).select("vec_id", F.round(L.dpo(a, b, c, d), 6).alias("loss"), F.round((a - c) * 0.1, 6).alias("chosen_reward"), F.round((b - d) * 0.1, 6).alias("rejected_reward"))
-
-
-@query(f"""with p as (select vec_id, -0.01 - abs(a) as a, -0.01 - abs(b) as b from ({_LP}))
-    select vec_id, round(-a + 0.1::double * ln(1 + exp(-((a - b) - (ln(1 - exp(a)) - ln(1 - exp(b)))))), 6) as loss from p""")
-def orpo_loss(spark, sf_dir):
-    a, b = (F.lit(-0.01) - F.abs(F.col(x)) for x in "ab")
-    return _logps(spark, sf_dir).select("vec_id", F.round(L.orpo(a, b), 6).alias("loss"))
-
-
-@query(f"select vec_id, round(ln(1 + exp(-(0.1::double * ((a - b) - 5.0)))), 6) as loss from ({_LP})")
-def simpo_loss(spark, sf_dir):
-    return _logps(spark, sf_dir).select("vec_id", F.round(L.simpo(F.col("a"), F.col("b")), 6).alias("loss"))
-
-
 @query("""select vec_id, round(exp(list_sum(list_transform(embedding, lambda x: abs(x::double))) / len(embedding)), 6) as perplexity from embeddings""")
 def perplexity(spark, sf_dir):
     nll = F.transform("embedding", lambda x: F.abs(x.cast("double")))
@@ -429,10 +357,6 @@ def bleu_rouge(spark, sf_dir):
 
 # --- telemetry -------------------------------------------------------------------------------------------
 
-@query("select event_type, count(*) as calls, round(avg(abs(value)), 6) as mean_latency, round(quantile_cont(abs(value), 0.95), 6) as p95 from events group by 1")
-def node_latency(spark, sf_dir):
-    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("calls"), F.round(F.avg(F.abs("value")), 6).alias("mean_latency"), F.round(F.percentile(F.abs("value"), 0.95), 6).alias("p95"))
-
 
 @query("""with d as (select cast(ts as date) as day, count(*) as n from events group by 1) select day, n, cast(sum(n) over (order by day) as bigint) as done, round(100.0::double * sum(n) over (order by day) / sum(n) over (), 6) as percentage from d""")
 def training_progress(spark, sf_dir):
@@ -448,18 +372,6 @@ def throughput(spark, sf_dir):
     return by.select("user_id", "rows", F.when(F.col("span") > 0, F.round(F.col("rows") / F.col("span"), 9)).otherwise(0.0).alias("per_second"))
 
 
-@query()
-def ema_smooth(spark, sf_dir):
-    daily = read(spark, sf_dir, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.avg("value").alias("x"))
-    series = daily.groupBy("event_type").agg(F.sort_array(F.collect_list(F.struct("day", "x"))).alias("s"))  # one entry a day
-    return series.select("event_type", F.posexplode(M.smoothed(F.transform("s", lambda p: p["x"]))).alias("step", "value")).withColumn("value", F.round("value", 6))
-
-
-@query("select doc_id, source, o as place from (select doc_id, source, row_number() over (order by doc_id) - 1 as o from documents) where o >= 4 and o < 6")
-def preview_page(spark, sf_dir):
-    return with_ordinal(read(spark, sf_dir, "documents").select("doc_id", "source"), ["doc_id"], name="place").where("place >= 4 and place < 6")
-
-
 # --- templates -----------------------------------------------------------------------------------------
 
 
@@ -481,13 +393,3 @@ def render_mistral(spark, sf_dir):
     return rows.select("id", prompt.alias("prompt_text"), response.alias("response_text"))
 
 
-@query()
-def tool_round_trip(spark, sf_dir):
-    """Each format's calls, written from the event table's values and read back: rows that differ."""
-    from textloom.operators.tools import FORMATS, extractor
-
-    rows = read(spark, sf_dir, "events").select("event_id", "event_type", F.to_json(F.struct("user_id", "value")).alias("args"))
-    text = F.concat(F.lit('<tool_call>\n{"name": "'), "event_type", F.lit('", "arguments": '), "args", F.lit("}\n</tool_call>"))
-    assert "qwen" in FORMATS
-    got = rows.withColumn("calls", extractor("qwen")(text))
-    return got.groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.get("calls", F.lit(0))["name"] == F.col("event_type")).alias("read_back"))

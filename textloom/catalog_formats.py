@@ -149,10 +149,10 @@ def align_v1_pair(spark, sf_dir):
 @query(f"""with {_DIALOGUES}, r as (select session_id, block, case when m[1].role = 'system' then m[1].content end as system, case when m[1].role = 'system' then m[2:] else m end as x, m from d),
     q as (select *, list_bool_and(list_transform(range(1, len(x) + 1), lambda i: case when i % 2 = 1 then coalesce(x[i].role in ('user', 'tool'), false) else coalesce(x[i].role in ('assistant', 'function'), false) end)) as placed from r)
     select session_id, block, system, case when len(x) % 2 = 0 then 'Only supports u/a/u/a/u...' when not placed then 'Invalid role' end as error,
-      cast(case when len(x) % 2 = 1 and placed then len(x) end as integer) as messages, case when len(x) % 2 = 1 and placed then x[len(x)].content end as last from q""")
+      cast(case when len(x) % 2 = 1 and placed then len(x) else 0 end as integer) as messages, case when len(x) % 2 = 1 and placed then x[len(x)].content end as last from q""")
 def chat_requests(spark, sf_dir):
     out = A.requests(dialogues(spark, sf_dir), ["session_id", "block"], "m")
-    return out.select("session_id", "block", "system", "error", F.when(F.col("messages").isNotNull(), F.size("messages")).alias("messages"), F.element_at("messages", -1)["content"].alias("last"))
+    return out.select("session_id", "block", "system", "error", F.coalesce(F.when(F.col("messages").isNotNull(), F.size("messages")), F.lit(0)).alias("messages"), F.element_at("messages", -1)["content"].alias("last"))
 
 
 # --- rendering ------------------------------------------------------------------------------------------------

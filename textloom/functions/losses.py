@@ -143,7 +143,8 @@ def split_logps(logps: Column, labels: Column, kinds: Column, ld_alpha: float |
     counts by that share only. ``logps`` belong to the labels at the same places."""
     rows = F.zip_with(F.arrays_zip(logps.alias("p"), labels.alias("y")), kinds, lambda z, k: F.struct(z["p"].alias("p"), z["y"].alias("y"), k.alias("k")))
     out = {}
-    held = {n: F.transform(F.filter(rows, lambda r, k=k: (r["k"] == k) & (r["y"] != ignore)), lambda r: r["p"]) for n, k in (("chosen", 1), ("rejected", 2))}
+    of = lambda kind: F.transform(F.filter(rows, lambda r: (r["k"] == kind) & (r["y"] != ignore)), lambda r: r["p"])
+    held = {"chosen": of(1), "rejected": of(2)}
     shorter = F.least(*[F.size(h) for h in held.values()])
     add = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
     for n, h in held.items():

@@ -41,7 +41,10 @@ def nearest_in_blocks(rows: DataFrame, queries: DataFrame, key: str, k: int, dim
     kinds = dict(rows.dtypes) | {"query": dict(queries.dtypes)["query"]}
     schema = f"query {kinds['query']}, {key} {kinds[key]}, distance double"
     held.sort(key=lambda r: r["query"])
-    names = pa.array([r["query"] for r in held])
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    types = {c: to_arrow_type(df.schema[c].dataType) for c, df in (("query", queries), (key, rows))}
+    names = pa.array([r["query"] for r in held], types["query"])
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
     shared = rows.sparkSession.sparkContext.broadcast(unit(np.array([r["q"] for r in held], dtype=np.float64).reshape(-1, dim))) if held else None
     if shared is None:
@@ -60,7 +63,7 @@ def nearest_in_blocks(rows: DataFrame, queries: DataFrame, key: str, k: int, dim
             base = len(keys)
             keys += [batch.column(0)[i].as_py() for i in order.tolist()]
             for j, at in enumerate(range(0, len(q), block)):
-                far = np.round(1.0 - q[at : at + block] @ x.T, 6)
+                far = np.round(1.0 - q[at : at + block] @ x.T, 6) + 0.0  # no negative zero
                 d = np.concatenate([best[j][0], far], axis=1)
                 i = np.concatenate([best[j][1], np.broadcast_to(np.arange(base, base + len(x)), far.shape)], axis=1)
                 keep = np.argsort(d, axis=1, kind="stable")[:, : k + len_ties(d, k)]
@@ -68,7 +71,7 @@ def nearest_in_blocks(rows: DataFrame, queries: DataFrame, key: str, k: int, dim
         for j, (d, i) in enumerate(best):
             if d.shape[1]:
                 at = np.repeat(np.arange(j * block, j * block + len(d)), d.shape[1])
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array([keys[a] for a in i.ravel().tolist()]), pa.array(d.ravel())], ["query", key, "distance"])
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array([keys[a] for a in i.ravel().tolist()], types[key]), pa.array(d.ravel())], ["query", key, "distance"])
 
     def len_ties(d, k):
         # Rows that tie with the last one kept go on too; the final ranking decides by key.
