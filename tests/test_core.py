@@ -183,7 +183,7 @@ def test_losses_and_metrics(spark):
 def test_templates_and_tools(spark):
     msgs = F.array(*[A.message(r, F.lit(c)) for r, c in (("user", "q1"), ("assistant", "<think>t</think>\na1"), ("user", "q2"), ("assistant", "a2"))])
     r = spark.range(1).select(*one_turn(TEMPLATES["qwen3"], msgs, F.lit("S"))).first()
-    assert r[0].startswith("<|im_start|>system\nS<|im_end|>\n<|im_start|>user\nq1") and "<think>" not in r[0] and r[1] == "a2<|im_end|>\n"
+    assert r[0].startswith("<|im_start|>system\nS<|im_end|>\n<|im_start|>user\nq1") and "<think>" not in r[0] and r[1] == "<think>\n\n</think>\n\na2<|im_end|>\n"
     r = spark.range(1).select(turn_pairs(TEMPLATES["mistral"], msgs, F.lit("S")).alias("p")).first()["p"]
     assert r[0]["prompt"] == "<s>[INST] S\n\nq1[/INST]" and len(r) == 2
     calls = [("f", {"a": 1, "b": "ü"})]

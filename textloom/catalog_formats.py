@@ -214,6 +214,35 @@ def parse_generated(spark, sf_dir):
     return got.select("id", F.array_join(F.transform("c", lambda x: x["type"]), ",").alias("kinds"), one("reasoning").alias("reasoning"), one("text").alias("answer"), one("tool_call").alias("call"))
 
 
+#: A user's text ({p}), an answer ({r}) and the system text S in several templates, written by hand.
+FAMILIES = {
+    "llama3": "<s><|start_header_id|>system<|end_header_id|>\n\nS<|eot_id|><|start_header_id|>user<|end_header_id|>\n\n{p}<|eot_id|><|start_header_id|>assistant<|end_header_id|>\n\n|{r}<|eot_id|>",
+    "gemma": "<s><start_of_turn>user\nS\n\n{p}<end_of_turn>\n<start_of_turn>model\n|{r}<end_of_turn>\n",
+    "llama2": "<s>[INST] <<SYS>>\nS\n<</SYS>>\n\n{p} [/INST]|{r}</s>",
+    "deepseek3": "<s>S<｜User｜>{p}<｜Assistant｜>|{r}</s>",
+    "glm4": "[gMASK]<sop><|system|>\nS<|user|>\n{p}<|assistant|>|\n{r}",
+    "zephyr": "<|system|>\nS</s><|user|>\n{p}</s><|assistant|>\n|{r}</s>",
+    "qwen3": "<|im_start|>system\nS<|im_end|>\n<|im_start|>user\n{p}<|im_end|>\n<|im_start|>assistant\n|<think>\n\n</think>\n\n{r}<|im_end|>\n",
+    "glm4_7": "[gMASK]<sop><|system|>\nS<|user|>\n{p}<|assistant|>|</think>\n{r}",
+    "breeze": "<s>S[INST] {p} [/INST] |{r}",
+    "openchat": "<s>SGPT4 Correct User: {p}</s>GPT4 Correct Assistant:|{r}</s>",
+}
+
+
+def _family_sql(name: str, form: str) -> str:
+    return f"select id, '{name}' as template, '" + form.replace("'", "''").replace("{p}", "' || p || '").replace("{r}", "' || r || '") + "' as text from n"
+
+
+@query(f"with {_PAIRS}, n as (select id, replace(coalesce(prompt, ''), '|', '/') as p, replace(coalesce(reply, ''), '|', '/') as r from pairs) " + " union all ".join(_family_sql(k, v) for k, v in FAMILIES.items()))
+def render_families(spark, sf_dir):
+    from textloom.operators.templates import TEMPLATES, one_turn
+
+    clean = lambda c: F.replace(F.coalesce(c, F.lit("")), F.lit("|"), F.lit("/"))
+    rows = _pairs(spark, sf_dir).select("id", F.array(A.message("user", clean("prompt")), A.message("assistant", clean("reply"))).alias("m"))
+    each = [F.struct(F.lit(n).alias("template"), F.concat_ws("|", *one_turn(TEMPLATES[n], F.col("m"), F.lit("S"))).alias("text")) for n in FAMILIES]
+    return rows.select("id", F.explode(F.array(*each)).alias("x")).select("id", "x.template", "x.text")
+
+
 _WORDS7 = "list_transform(list_filter(regexp_split_to_array({}, '[ \\t\\n\\r\\f\\x0B]+'), lambda x: x <> ''), lambda x: substr(md5(x), 1, 7))"
 
 

@@ -202,7 +202,8 @@ def encode(df: DataFrame, stage: str, cutoff: int, template=None, tokenizer=toke
     pt: input_ids of the first prompt message. sft: input_ids, attention_mask, labels, or PACKED
     with ``packing``. rm: chosen_ and rejected_ of the three. kto: those of sft, kl_ and kto_tags
     (the mismatched answers come from the row before in its batch; needs ``_ord``). generate: the
-    prompt as input_ids and the response as labels. ``options`` go to ``multi_turn``.
+    prompt as input_ids and the response as labels. ``options`` go to ``multi_turn``, but for ``think``,
+    which goes to the template. A template without an end token gets ``eos`` at the end of answers.
     """
     from textloom.operators.align import valid
     from textloom.operators.templates import TEMPLATES, one_turn, turn_pairs
@@ -215,13 +216,17 @@ def encode(df: DataFrame, stage: str, cutoff: int, template=None, tokenizer=toke
     template = template or TEMPLATES["default"]
     ones = lambda c: F.array_repeat(F.lit(1), F.size(c))
 
+    end = F.array(F.lit(eos)) if template.efficient_eos else None
+    think = options.pop("think", True)
+
     def turn(response: Column) -> tuple[Column, Column]:
-        prompt, answer = one_turn(template, F.concat("_prompt", F.array(response)), F.col("_system"))
-        return tokenizer(prompt), tokenizer(answer)
+        prompt, answer = one_turn(template, F.concat("_prompt", F.array(response)), F.col("_system"), think=think)
+        ids = tokenizer(answer)
+        return tokenizer(prompt), ids if end is None else F.concat(ids, end)
 
     if stage == "sft":
-        pairs = F.transform(turn_pairs(template, F.concat("_prompt", "_response"), F.col("_system")), lambda p: F.struct(tokenizer(p["prompt"]).alias("prompt"), tokenizer(p["response"]).alias("response")))
-        ids, labels = multi_turn(F.col("_pairs"), cutoff, **options)
+        pairs = F.transform(turn_pairs(template, F.concat("_prompt", "_response"), F.col("_system"), think=think, discard_history=options.get("mask_history", False)), lambda p: F.struct(tokenizer(p["prompt"]).alias("prompt"), tokenizer(p["response"]).alias("response")))
+        ids, labels = multi_turn(F.col("_pairs"), cutoff, eos=eos if template.efficient_eos else None, **options)
         rows = df.where(valid("sft")).withColumn("_pairs", pairs)
         if packing:
             rows = rows.select(*dict.fromkeys([*keep, "_ord"]), ids.alias("_ids"), labels.alias("_labels"))

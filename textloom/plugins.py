@@ -32,4 +32,44 @@ class Registry:
         return name in self.held
 
 
-LOADERS, BATCHING, MEDIA = Registry("loader"), Registry("batching"), Registry("media plugin")
+LOADERS, BATCHING = Registry("loader"), Registry("batching")
+
+# --- fixed values: the tokens that stand for media in the texts of a media plugin -----------------------------------
+MEDIA_TOKENS = {
+    "base": {},
+    "ernie_vl": {"images": "<|IMAGE_PLACEHOLDER|>", "videos": "<|VIDEO_PLACEHOLDER|>"},
+    "gemma3": {"images": "<image_soft_token>"},
+    "gemma3n": {"images": "<image_soft_token>", "audios": "<audio_soft_token>"},
+    "gemma4": {"images": "<|image|>", "videos": "<|video|>", "audios": "<|audio|>"},
+    "glm4v": {"images": "<|image|>", "videos": "<|video|>"},
+    "intern_vl": {"images": "<image>", "videos": "<video>"},
+    "kimi_vl": {"images": "<|media_pad|>"},
+    "lfm2_vl": {"images": "<image>"},
+    "llama4": {"images": "<|image|>"},
+    "llava": {"images": "<image>"},
+    "llava_next": {"images": "<image>"},
+    "llava_next_video": {"images": "<image>", "videos": "<video>"},
+    "minicpm_v": {"images": "<image>", "videos": "<video>", "audios": "<audio>"},
+    "minicpm_v_4_6": {"images": "<image>", "videos": "<video>"},
+    "mllama": {"images": "<|image|>"},
+    "paligemma": {"images": "<image>"},
+    "pixtral": {"images": "[IMG]"},
+    "qwen2_audio": {"audios": "<|AUDIO|>"},
+    "qwen2_omni": {"images": "<|IMAGE|>", "videos": "<|VIDEO|>", "audios": "<|AUDIO|>"},
+    "qwen2_vl": {"images": "<|image_pad|>", "videos": "<|video_pad|>"},
+    "qwen3_vl": {"images": "<|image_pad|>", "videos": "<|video_pad|>"},
+    "video_llava": {"images": "<image>", "videos": "<video>"},
+    "youtu_vl": {"images": "<|image_pad|>", "videos": "<|video_pad|>"},
+}
+
+
+def register_media(name: str, tokens: dict[str, str]) -> None:
+    if name in MEDIA_TOKENS:
+        raise ValueError(f"media plugin {name} is registered")
+    MEDIA_TOKENS[name] = tokens
+
+
+def media_tokens(name: str) -> dict[str, str]:
+    if name not in MEDIA_TOKENS:
+        raise ValueError(f"no media plugin {name}")
+    return MEDIA_TOKENS[name]

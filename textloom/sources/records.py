@@ -74,9 +74,9 @@ def zipped(parts: dict[str, DataFrame], order: dict[str, str]) -> DataFrame:
 
     out = None
     for name, df in parts.items():
-        own = with_ordinal(df, [order[name]], name="_at").drop(order[name])
-        out = own if out is None else out.join(own, "_at")
-    return out.drop("_at")
+        own = with_ordinal(df, [order[name]], name="_nth").drop(order[name])
+        out = own if out is None else out.join(own, "_nth")
+    return out.drop("_nth")
 
 
 def reward_rows(df: DataFrame, chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:

@@ -49,3 +49,30 @@ def latest(log: DataFrame) -> DataFrame:
 def losses(log: DataFrame) -> DataFrame:
     """(step, loss) of the rows with a loss that is not 0."""
     return log.where("loss is not null and loss <> 0").select(F.col("current_steps").alias("step"), "loss")
+
+
+class RowStream:
+    """A dataset read in order, a block at a time, without holding it: no length, no access by place, and
+    a state from which reading goes on.
+
+    The rows are numbered once (see ``sequence.with_ordinal``) and each block is read by its numbers.
+    """
+
+    def __init__(self, df: DataFrame, order: list[str], block: int = 1000, state: dict | None = None):
+        from textloom.common import materialize
+        from textloom.operators.sequence import with_ordinal
+
+        self.rows = materialize(with_ordinal(df, order, name="_place").repartitionByRange("_place").sortWithinPartitions("_place"), "stream")
+        self.block, self.at = block, (state or {}).get("at", 0)
+
+    def __iter__(self):
+        while True:
+            part = self.rows.where((F.col("_place") >= self.at) & (F.col("_place") < self.at + self.block)).orderBy("_place").drop("_place").collect()  # a block
+            if not part:
+                return
+            for row in part:
+                self.at += 1
+                yield row
+
+    def state(self) -> dict:
+        return {"at": self.at}
