@@ -189,7 +189,10 @@ def similar_texts(classes: DataFrame) -> DataFrame:
     left = posts.select("key", "salt", F.col("role").alias("asks"), F.col("doc").alias("a"), *[F.col(f"s{i}").alias(f"a{i}") for i in range(3)])
     right = posts.select("key", "salt", F.col("role").alias("answers"), F.col("doc").alias("b"), *[F.col(f"s{i}").alias(f"b{i}") for i in range(3)])
     apart = _unequal(F.col("a0"), F.col("b0")) + _unequal(F.col("a1"), F.col("b1")) + _unequal(F.col("a2"), F.col("b2"))
-    met = left.join(right, ["key", "salt"]).where((F.col("asks") <= 1) & (F.col("answers") != 1) & (F.col("a") < F.col("b")) & (apart <= COORDINATES - MATCHES))
+    # Cold with cold (0, 0) or asking with answering (1, 2); in one expression over both sides, which keeps
+    # the filter above the exchange that the two sides share.
+    fits = F.col("asks") * 2 - F.col("answers") == 0
+    met = left.join(right, ["key", "salt"]).where(fits & (F.col("a") < F.col("b")) & (apart <= COORDINATES - MATCHES))
     return met.select("a", "b").distinct()
 
 
