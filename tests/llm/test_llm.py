@@ -78,6 +78,7 @@ def test_p1_learned_headers_of_damaged_texts(spark):
     # An unlisted header, mid-sentence with hyphenation beside it or inside its word, or after a full stop.
     hurt = [(f"m{i}", f"Human jud-\nges preferred the discrete\n\nStudies of Remote Libraries {i}\n\nchunker when the corpus is small.") for i in range(3)]
     hurt += [("w", "Human judges preferred the discrete chun-\n\nStudies of Remote Libraries 7\n\nker when the corpus is small.")]
+    hurt += [("flat", "Human jud-\nges preferred the discrete Studies of Distant Archives 12 chunker when the corpus is small.")]  # another name, and no line of its own
     stop = ("s", CLEAN + "\n\nStudies of Remote Libraries 8\n\n" + CLEAN)
     df = spark.createDataFrame([*clean, *hurt, stop, ("other", CLEAN + "\n\nSections of Another Report 8\n\n" + CLEAN)], "chunk_id string, chunk_text string")
     got = {tuple(r) for r in P1.noise_kinds(df).collect()}

@@ -2,8 +2,9 @@
 
 Method: words are counted over the whole corpus and grouped by their confusable-glyph skeleton; in
 a group the frequent form that a misreading can have come from is chosen, by its context where
-several could be; lines with their digits masked that recur between the words of passages are
-running headers; and the repaired lines are reflowed into paragraphs with SQL windows.
+several could be; lines with their digits and names masked that recur between the words of passages are
+running headers, wherever they stand (a few listed forms are known from the start); and the repaired
+lines are reflowed into paragraphs with SQL windows.
 
 The dictionary that the passes hold is the words of a share of at least ``SHARE`` of all words, so
 it has at most 1 / SHARE entries whatever the size of the corpus.
@@ -23,8 +24,10 @@ from textloom.common import broadcast_if_small, map_batches, materialize, one_ro
 SHARE, LEAST = 5e-6, 5
 #: A form is frequent against a misreading that it is this many times as common as.
 TIMES = 8
-#: A masked line is a learned header when this many chunks have it between their words.
-RECURS = 3
+#: A masked line is a learned header when this many chunks, and this share of all, have it amid a
+#: sentence beside a blank line, and these are HEAD_TIMES of the chunks that have such a line anywhere.
+#: So there are at most a line's share of 1 / HEAD_SHARE masks.
+RECURS, HEAD_SHARE, HEAD_TIMES = 3, 2e-5, 0.3
 #: Chunks with learned headers whose line numbers may be broadcast.
 HEADER_ROWS = 50_000
 #: A number is out of place between words that stand beside a number more rarely than this.
@@ -222,9 +225,10 @@ def _prose(line: str, least: int = 3) -> bool:
 class Repair:
     """The damage of one text, and its lines without it."""
 
-    def __init__(self, text: str, lex: Lexicon, heads: list[int] | None = None):
+    def __init__(self, text: str, lex: Lexicon, heads: list[int] | None = None, forms: HeaderForms | None = None):
         self.noise: set[str] = set()
         self.lex = lex
+        self.forms = forms
         lines = text.replace("\r\n", "\n").split("\n")
         kinds = [self._kind(x) for x in lines]
         for i in heads or ():  # learned headers
@@ -290,6 +294,9 @@ class Repair:
             body = HEADER_INLINE.sub(header, body)
         if "et al. " in body:
             body = ET_AL_INLINE.sub(header, body)
+        if self.forms is not None:
+            for form in self.forms.near(body):
+                body = form.sub(header, body)
         if "[" in body or "age " in body or "|" in body or "—" in body or "~" in body or "–" in body or " - " in body:
             body = PAGE_INLINE.sub(page, body)
 
@@ -404,6 +411,43 @@ class Repair:
 
 
 MASKS = "chunk_id string, line_no int, mask string, mid boolean"
+_MASKED = re.compile(r"\d+|[^\W\d_][\w'’-]*")
+
+
+def mask(line: str) -> str:
+    """A line with its numbers as # and its names as @: words in capitals, and words with a capital but
+    the first. Names in a row are one."""
+    first = True
+
+    def one(m: re.Match) -> str:
+        nonlocal first
+        word, lead = m.group(), first
+        first = False
+        if word[0].isdigit():
+            return "#"
+        return "@" if word[0].isupper() and (not lead or word.isupper()) else word
+
+    return re.sub(r"@(?:\s+@)+", "@", _MASKED.sub(one, " ".join(line.split())))
+
+
+class HeaderForms:
+    """Learned masks as patterns of what stands amid a sentence, after line breaks have become blanks.
+
+    Only masks with words of their own are used inline; a search for these words comes first.
+    """
+
+    def __init__(self, masks: list[str]):
+        self.by_word: dict[str, list[re.Pattern]] = defaultdict(list)
+        for m in masks:
+            words = [w for w in re.findall(r"[^\W\d_]{4,}", m)]
+            if not words:
+                continue
+            parts = [{"#": r"\d+", "@": r"[^\W\d_a-z][\w'’.-]*(?:\s+[^\W\d_a-z][\w'’.-]*){0,5}", " ": r"\s+"}.get(x) or re.escape(x) for x in re.findall(r"#|@|\s|[^#@\s]+", m)]
+            form = rf"(?<=[a-z0-9,)])\s+((?:(?:{_PAGE_STRONG}|{_PAGE_WEAK})\s+)?{''.join(parts)}(?:\s+(?:{_PAGE_STRONG}|{_PAGE_WEAK})(?!\S))?)(?=\s+[a-z(])"
+            self.by_word[max(words, key=len)].append(re.compile(form))
+
+    def near(self, body: str) -> list[re.Pattern]:
+        return [f for w, fs in self.by_word.items() if w in body for f in fs]
 
 
 def _masks(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -418,20 +462,28 @@ def _masks(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         texts = [i for i, x in enumerate(lines) if Repair._kind(x) == "text"]
         for a, i, b in zip(texts, texts[1:], texts[2:], strict=False):
             s, before, after = lines[i].strip(), lines[a].rstrip(), lines[b].lstrip()
-            if s[:1].isupper() and len(s.split()) >= 3 and _prose(s, 2) and _prose(before, 2) and _prose(after, 2):
+            if s[:1].isupper() and len(s) <= MASK_LENGTH and len(s.split()) >= 3 and _prose(s, 2) and _prose(before, 2) and _prose(after, 2):
                 blank = not lines[i - 1].strip() or not lines[i + 1].strip()
-                out.append((key, i, _DIGITS.sub("#", s), blank and _prose(before, 4) and before[-1] not in ".:;!?" and after[:1].islower()))
+                out.append((key, i, mask(s), blank and _prose(before, 4) and before[-1] not in ".:;!?" and after[:1].islower()))
     if not out:
         return None
     types = [pa.string(), pa.int32(), pa.string(), pa.bool_()]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [x.split()[0] for x in MASKS.split(", ")])
 
 
-def learned(rows: DataFrame) -> DataFrame:
-    """(chunk_id, heads): the numbers of the lines whose masks break the sentences of RECURS chunks."""
+#: A running header is no longer than this; a page has no room for more.
+MASK_LENGTH = 160
+
+
+def learned(rows: DataFrame) -> tuple[DataFrame, list[str]]:
+    """((chunk_id, heads), masks): the numbers of the lines with the masks of learned headers, and these
+    masks, of which there are few (see HEAD_SHARE)."""
     masks = materialize(map_batches(rows, _masks, MASKS), "masks")
-    headers = masks.where("mid").groupBy("mask").agg(F.count_distinct("chunk_id").alias("c")).where(F.col("c") >= RECURS).select("mask")
-    return materialize(masks.join(headers, "mask").groupBy("chunk_id").agg(F.collect_set("line_no").alias("heads")), "headers")
+    least = max(RECURS, int(HEAD_SHARE * rows.count()))
+    per = masks.groupBy("mask").agg(F.count_distinct(F.when(F.col("mid"), F.col("chunk_id"))).alias("c"), F.count_distinct("chunk_id").alias("n"))
+    headers = materialize(per.where((F.col("c") >= least) & (F.col("c") >= HEAD_TIMES * F.col("n"))).select("mask"), "masks")
+    heads = masks.join(headers, "mask").groupBy("chunk_id").agg(F.collect_set("line_no").alias("heads"))
+    return materialize(heads, "headers"), sorted(r["mask"] for r in headers.collect())
 
 
 LINES = "chunk_id string, line_no int, line string, noise array<string>"
@@ -440,12 +492,15 @@ LINES = "chunk_id string, line_no int, line string, noise array<string>"
 def scan(rows: DataFrame) -> DataFrame:
     """LINES of every chunk that has damage; the noise that was found stands on line 0."""
     lex = rows.sparkSession.sparkContext.broadcast(lexicon(rows))  # at most 1 / SHARE words
-    rows = rows.join(broadcast_if_small(learned(rows), HEADER_ROWS), "chunk_id", "left")
+    heads, masks = learned(rows)
+    forms = rows.sparkSession.sparkContext.broadcast(masks)
+    rows = rows.join(broadcast_if_small(heads, HEADER_ROWS), "chunk_id", "left")
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         out: list[tuple] = []
+        inline = HeaderForms(forms.value) if forms.value else None
         for key, text, heads in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            r = Repair(text, lex.value, heads)
+            r = Repair(text, lex.value, heads, inline)
             if r.noise:
                 out += [(key, i, x, sorted(r.noise) if i == 0 else []) for i, x in enumerate(r.lines)]
         if not out:
