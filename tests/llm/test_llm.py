@@ -235,6 +235,22 @@ def test_p4_matches_brute_force_on_a_hot_session(spark):
 # --- 5 -----------------------------------------------------------------------------------------------------
 
 
+def test_p4_merges_overlapping_exports(spark):
+    def part(name, session, places, texts=None):
+        return [(name, i, session, p, ["user", "assistant"][p % 2], (texts or {}).get(p, f"m{p}")) for i, p in enumerate(places)]
+
+    rows = part("a", "s", range(0, 5)) + part("b", "s", range(3, 9)) + part("c", "s", range(7, 12)) + part("in", "s", range(4, 7)) + part("twin", "s", range(0, 5))
+    rows += part("g1", "gap", range(0, 4)) + part("g2", "gap", range(5, 8))  # the fifth message is missing
+    rows += part("f1", "fork", range(0, 3)) + part("f2", "fork", range(2, 4)) + part("f3", "fork", range(2, 4), {3: "other"})  # two go on from one
+    rows += part("h1", "half", range(0, 3)) + part("e1", "empty", range(0, 2), {1: " "}) + part("o1", "one", range(0, 2))
+    df = spark.createDataFrame(rows + rows[:3] + [(None, 0, "s", 1, "user", "x"), ("n", 0, None, 1, "user", "x")], "fragment string, place int, session_id string, id long, role string, content string").repartition(5)
+    got = defaultdict(list)
+    for r in P4.merged(df).orderBy("session_id", "turn").collect():
+        got[r["session_id"]].append((r["turn"], r["id"]))
+    assert got == {"s": [(i + 1, i) for i in range(12)], "one": [(1, 0), (2, 1)]}
+    assert P4.merged(df.limit(0)).count() == 0
+
+
 def test_p5_properties_and_stability(spark):
     rng = random.Random(4)
     for _ in range(60):

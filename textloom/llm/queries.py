@@ -12,6 +12,7 @@ QUERIES = {
     "p3_found": p3_pairs.p3_found,
     "p4_found": p4_conversations.p4_found,
     "p4_conversations": p4_conversations.p4_conversations,
+    "p4_merged": p4_conversations.p4_merged,
     "p5_found": p5_pieces.p5_found,
     "p5_pieces": p5_pieces.p5_pieces,
     "p6_found": p6_neighbours.p6_found,
