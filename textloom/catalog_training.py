@@ -316,10 +316,10 @@ def token_losses(spark, sf_dir):
 
 
 @query("""with o as (select o_orderkey, o_orderkey // 100 as interval, cast(round(o_totalprice * 100) as bigint) as v, o_custkey % 7 + 1 as w from orders)
-    select o_orderkey, interval, round(cast(sum(v * w) over b as double) / cast(sum(w) over b as double), 2) as average from o window b as (partition by interval order by o_orderkey rows unbounded preceding)""")
+    select o_orderkey, interval, cast(floor(cast(sum(v * w) over b as double) / cast(sum(w) over b as double)) as bigint) as average from o window b as (partition by interval order by o_orderkey rows unbounded preceding)""")
 def running_average(spark, sf_dir):
     rows = read(spark, sf_dir, "orders").select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("long").alias("v"), (F.col("o_custkey") % 7 + 1).alias("w"))
-    return L.running_average(rows, "v", "w", F.floor(F.col("o_orderkey") / 100), "o_orderkey").select("o_orderkey", "interval", F.round("average", 2).alias("average"))
+    return L.running_average(rows, "v", "w", F.floor(F.col("o_orderkey") / 100), "o_orderkey").select("o_orderkey", "interval", F.floor("average").alias("average"))
 
 
 @query("""with m as (select o_orderkey // 8 as step, o_orderkey, o_totalprice / 1e5 as loss, o_custkey % 50 as valid from orders) select step, round(sum(loss * valid * 2 / (total + 1e-6)), 6) as loss from (select *, sum(valid) over (partition by step) as total from m) group by step""")
