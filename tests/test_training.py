@@ -309,3 +309,33 @@ def test_files_of_results(spark, tmp_path):
     assert RC.zipped({"a": spark.range(3).withColumn("x", F.col("id") * 2), "b": spark.range(2).withColumn("y", F.col("id") + 1)}, {"a": "id", "b": "id"}).count() == 2
     assert json.loads(RC.average_scores(spark.createDataFrame([(1.0, 2.0)], "b double, a double"), ["b", "a"])) == {"a": 2.0, "b": 1.0}
     assert RC.subjects('{"x": {"name": "X", "category": "c"}}', "mmlu_test") == ([("x", "X", "c")], "test")
+
+
+def test_tokenizer_windows(spark):
+    import os
+
+    from textloom.functions.tokenizer import decoder, encoder, token_chunks
+
+    path = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+    if not os.path.exists(path):
+        pytest.skip("no tokenizer file")
+    df = spark.createDataFrame([(1, "The planner reads the table. " * 90), (2, ""), (3, None), (4, "Zürich 知识")], "id int, text string")
+    assert {r["id"]: r["t"] for r in df.select("id", decoder(path)(encoder(path)("text")).alias("t")).collect()}[4] == "Zürich 知识"
+    got = token_chunks(df, "text", path).orderBy("id", "chunk_id").collect()
+    assert [r["chunk_id"] for r in got if r["id"] == 1] == list(range(len([r for r in got if r["id"] == 1]))) and {r["id"] for r in got} == {1, 4}
+
+
+def test_arrow_files_and_batching_plugins(spark, tmp_path):
+    import pyarrow as pa
+
+    from textloom.plugins import BATCHING
+    from textloom.sources.files import read_dataset
+
+    table = pa.table({"a": [1, 2, 3], "b": ["x", None, "z"]})
+    for name, new in (("one.arrow", pa.ipc.new_file), ("two.arrow", pa.ipc.new_stream)):
+        with pa.OSFile(str(tmp_path / name), "wb") as f, new(f, table.schema) as w:
+            w.write_table(table)
+    assert sorted((r["a"], r["b"] or "") for r in read_dataset(spark, str(tmp_path)).collect()) == sorted([(1, "x"), (2, ""), (3, "z")] * 2)
+    assert BATCHING.get("normal", "rows")(4, 2) == 8 and BATCHING.get("padding_free", "count")(17, 4, 2) == 2 and BATCHING.get("dynamic_batching", "count")(17, 4, 2) == 3
+    rows = spark.createDataFrame([(1, [5, 6], [-100, 6])], "id int, input_ids array<int>, labels array<int>")
+    assert "labels: <6>" in E.example(rows, ["id"], lambda ids: "<" + " ".join(map(str, ids)) + ">") and E.example(rows.limit(0), ["id"], str) == ""

@@ -152,3 +152,13 @@ def percentile(df, by: list[str], value: Column, share: float, name: str):
     pick = lambda place: F.max(F.when((F.col("_from") <= place) & (F.col("_to") > place), F.col("_v")))
     ends = inside.groupBy(*by).agg(pick(low).alias("_lo"), pick(high).alias("_hi"), F.max(at - low).alias("_f"))
     return ends.select(*by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_f")).alias(name))
+
+
+def named(df, key: str, mapping: dict[str, dict[str, str]], fields: tuple[str, ...] = ("name", "category")):
+    """``df`` with the fields that a mapping (of bounded size, one entry a subject) has for a key; NULL for
+    an unknown one."""
+    out = df
+    for f in fields:
+        pairs = [F.lit(x) for k, v in mapping.items() for x in (k, v.get(f))]
+        out = out.withColumn(f, F.try_element_at(F.create_map(*pairs), F.col(key)) if pairs else F.lit(None).cast("string"))
+    return out

@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textloom.plugins import BATCHING
+
 IGNORE = -100
 
 
@@ -498,3 +500,31 @@ def prefix_types(images: Column, length: Column, per_image: int) -> Column:
 def argmax(scores: Column) -> Column:
     """The place from 0 of the greatest score; the first of equal ones."""
     return (F.array_position(scores, F.array_max(scores)) - 1).cast("int")
+
+
+def example(df: DataFrame, order: list[str], decode) -> str:
+    """The first row as text: its ids and its labels that count, both decoded by ``decode`` (a function of
+    a list of ids); "" for no rows."""
+    row = df.orderBy(*order).limit(1).select("input_ids", "labels").first()
+    if row is None:
+        return ""
+    kept = [x for x in row["labels"] if x != IGNORE]
+    return f"input_ids: {row['input_ids']}\ninputs: {decode(row['input_ids'])}\nlabel_ids: {row['labels']}\nlabels: {decode(kept)}"
+
+
+# --- strategies of batching -----------------------------------------------------------------------------------
+# Each has the hooks ``rows`` (how many a batch takes at once), ``count`` (how many batches so many rows make) and
+# ``make`` (the batches of a table).
+
+BATCHING.register("normal", "rows")(lambda micro, num: micro * num)
+BATCHING.register("normal", "count")(batches_of)
+BATCHING.register("normal", "make")(micro_batches)
+BATCHING.register("padding_free", "rows")(lambda micro, num: micro * num)
+BATCHING.register("padding_free", "count")(lambda rows, micro, num: rows // (micro * num))
+BATCHING.register("padding_free", "make")(padding_free)
+BATCHING.register("dynamic_batching", "rows")(lambda micro, num: 1)
+BATCHING.register("dynamic_batching", "count")(batches_of)
+BATCHING.register("dynamic_batching", "make")(dynamic_batches)
+BATCHING.register("dynamic_padding_free", "rows")(lambda micro, num: 1)
+BATCHING.register("dynamic_padding_free", "count")(batches_of)
+BATCHING.register("dynamic_padding_free", "make")(lambda *args, **kw: dynamic_batches(*args, padded=False, **kw))

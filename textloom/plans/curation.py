@@ -75,3 +75,8 @@ def classify(df: DataFrame, model, schema: str, text: str = "abstract") -> DataF
             yield pd.concat([pdf, got], axis=1)
 
     return df.mapInPandas(run, out)
+
+
+def accumulated(prior: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
+    """The accepted rows of earlier runs and of this one; a key that was accepted before stays as it was."""
+    return prior.unionByName(new.join(prior.select(key), key, "left_anti").select(*prior.columns), allowMissingColumns=True)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAPER = "id string, title string, abstract string, categories string"
-FORMATS = {"json": "json", "jsonl": "json", "csv": "csv", "parquet": "parquet", "txt": "text", "orc": "orc"}
+FORMATS = {"json": "json", "jsonl": "json", "csv": "csv", "parquet": "parquet", "txt": "text", "orc": "orc", "arrow": "arrow"}
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = PAPER) -> tuple[DataFrame, DataFrame]:
@@ -48,6 +48,8 @@ def read_dataset(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     kinds = sorted({PurePosixPath(n).suffix.lstrip(".").lower() for n in _files(spark, path)})
     if not kinds or kinds[0] not in FORMATS or strict and len(kinds) > 1:
         raise ValueError(f"{path} holds {kinds or 'nothing'}; one of {sorted(FORMATS)} is read")
+    if kinds[0] == "arrow":
+        return read_arrow(spark, path)
     reader = spark.read
     if kinds[0] == "csv":
         reader = reader.option("header", "true")
@@ -56,9 +58,40 @@ def read_dataset(spark: SparkSession, path: str, strict: bool = True) -> DataFra
     return reader.format(FORMATS[kinds[0]]).load(path)
 
 
+def read_arrow(spark: SparkSession, path: str) -> DataFrame:
+    """Arrow files (IPC, as files or streams), each read by one task; the first file's schema holds for all."""
+    import pyarrow as pa
+
+    def batches(data: bytes):
+        source = pa.BufferReader(data)
+        try:
+            reader = pa.ipc.open_file(source)
+            yield from (reader.get_batch(i) for i in range(reader.num_record_batches))
+        except pa.ArrowInvalid:
+            yield from pa.ipc.open_stream(source)
+
+    def schema_of(data: bytes) -> pa.Schema:
+        try:
+            return pa.ipc.open_file(pa.BufferReader(data)).schema
+        except pa.ArrowInvalid:
+            return pa.ipc.open_stream(pa.BufferReader(data)).schema
+
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.arrow").load(path).select("content")
+    schema = from_arrow_schema(schema_of(bytes(files.first()["content"])))
+
+    def run(rows):
+        for batch in rows:
+            for data in batch.column(0):
+                yield from batches(data.as_py())
+
+    return files.repartition(max(1, files.count())).mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class Dataset:
-    """A registered dataset: where it is, its format, and which columns stand for which."""
+    """A registered dataset: where it is, its format, and which columns and tags stand for which."""
 
     name: str
     load_from: str
@@ -67,11 +100,16 @@ class Dataset:
     ranking: bool = False
     num_samples: int | None = None
     columns: dict[str, str | None] = field(default_factory=dict)
+    tags: dict[str, str] = field(default_factory=dict)
+    subset: str | None = None
+    split: str = "train"
+    folder: str | None = None
 
 
 # --- fixed values: keys of a location, the first that is there counts --------------------------------------
 LOCATIONS = ("hf_hub_url", "script_url", "cloud_file_name", "file_name")
-DEFAULTS = {"prompt": "instruction", "query": "input", "response": "output", "history": None, "messages": "conversations", "system": None, "tools": None}
+DEFAULTS = {"prompt": "instruction", "query": "input", "response": "output", "history": None, "messages": "conversations", "system": None, "tools": None, "images": None, "videos": None, "audios": None, "chosen": None, "rejected": None, "kto_tag": None}
+TAGS = {"role_tag": "from", "content_tag": "value", "user_tag": "human", "assistant_tag": "gpt", "observation_tag": "observation", "function_tag": "function_call", "system_tag": "system"}
 
 
 def registry(text: str) -> dict[str, Dataset]:
@@ -83,7 +121,7 @@ def registry(text: str) -> dict[str, Dataset]:
             raise ValueError(f"{name} has no location")
         given = a.get("columns")
         columns = {k: (given.get(k) if given else v) for k, v in {**DEFAULTS, **dict.fromkeys(given or {})}.items()}
-        out[name] = Dataset(name, kind, a[kind], a.get("formatting", "alpaca"), bool(a.get("ranking", False)), a.get("num_samples"), columns)
+        out[name] = Dataset(name, kind, a[kind], a.get("formatting", "alpaca"), bool(a.get("ranking", False)), a.get("num_samples"), columns, {**TAGS, **(a.get("tags") or {})}, a.get("subset"), a.get("split", "train"), a.get("folder"))
     return out
 
 
