@@ -28,8 +28,9 @@ CAPACITY = 4096
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # --- fixed value: the public pre-tokenization pattern of that vocabulary ---------------------------
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Lengths above capacity / LARGE are grouped; the number of groups; salts of a length's ranking.
-LARGE, GROUPS, SALTS = 8, 32, 64
+#: Lengths above capacity / LARGE are grouped; the number of groups; the least number of salts of a
+#: length's ranking, and about how many documents of one length a salt holds.
+LARGE, GROUPS, SALTS, SALTED = 8, 32, 64, 500_000
 
 _encodings: dict[str, tiktoken.Encoding] = {}
 
@@ -194,11 +195,13 @@ def fill_containers(sizes: DataFrame, key: str, size: str, capacity: int = CAPAC
     """
     own = sizes.select(F.col(key).alias("k"), F.greatest(F.coalesce(F.col(size), F.lit(0)), F.lit(1)).cast("int").alias("n"))
     own = own.withColumn("over", ((F.col("n") - 1) / capacity).cast("int"))  # full containers of its own
-    items = own.select("k", (F.col("n") - F.col("over") * capacity).alias("n"), F.col("over").alias("part"), spread(F.col("k"), salts).alias("salt"))
-    by = materialize(items, "items")
-    counts = by.groupBy("n", "salt").agg(F.count("*").alias("c"))
+    by = materialize(own.select("k", (F.col("n") - F.col("over") * capacity).alias("n"), F.col("over").alias("part")), "items")
     # At most ``capacity`` rows reach the driver, however many documents there are.
-    histogram = {r["n"]: r["c"] for r in counts.groupBy("n").agg(F.sum("c").alias("c")).collect()}
+    histogram = {r["n"]: r["c"] for r in by.groupBy("n").agg(F.count("*").alias("c")).collect()}
+    # A length that most documents have is ranked in as many parts as its number asks for.
+    salts = max(salts, -(-max(histogram.values(), default=0) // SALTED))
+    by = by.withColumn("salt", spread(F.col("k"), salts))
+    counts = by.groupBy("n", "salt").agg(F.count("*").alias("c"))
     runs = plan(histogram, capacity)
     spark = sizes.sparkSession
     table = spark.createDataFrame(runs or [(0, 0, 0, 0, 0, 1)], "n int, lo long, hi long, container long, off long, per long")
