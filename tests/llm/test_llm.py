@@ -257,7 +257,7 @@ def test_p5_properties_and_stability(spark):
         n = rng.choice([0, 1, 1600, 1601, 3000, 9000])
         text = "".join(rng.choice("abcdefgh    .\n") for _ in range(n)) if rng.random() < 0.7 else "x" * n
         cuts = P5.split(text)
-        assert all(0 < e - b <= 1600 for b, e in cuts)
+        assert all(0 < e - b <= 1600 for b, e in cuts) and (n <= 1600 or all(e - b >= 800 for b, e in cuts))
         assert (not n and not cuts) or (cuts[0][0] == 0 and cuts[-1][1] == n)
         assert all(0 <= e - b2 <= 160 and b2 > b for (b, e), (b2, _) in zip(cuts, cuts[1:]))
     text = " ".join("".join(rng.choice("abcdefg") for _ in range(rng.randint(2, 9))) + rng.choice(["", "", "", ".", ","]) for _ in range(6000))

@@ -73,7 +73,9 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, minimum: int =
     """(begin, end) of the pieces; a text of at most ``limit`` characters is one piece.
 
     Every character is in a piece, no piece is longer than ``limit`` or empty, and consecutive
-    pieces share at most ``overlap`` characters. Needs 0 <= overlap < minimum < limit.
+    pieces share at most ``overlap`` characters. No piece is shorter than ``minimum`` where the limit
+    is at least twice that: the last cut leaves enough for what follows. Needs 0 <= overlap < minimum
+    < limit.
     """
     if not 0 <= overlap < minimum < limit:
         raise ValueError("0 <= overlap < minimum < limit")
@@ -83,7 +85,8 @@ def split(text: str, limit: int = LIMIT, overlap: int = OVERLAP, minimum: int =
     marks = landmarks(text)
     out, start = [], 0
     while n - start > limit:
-        end = _cut(text, marks, start, start + minimum, start + limit)
+        high = min(start + limit, max(n - minimum, start + minimum + 1))
+        end = _cut(text, marks, start, min(start + minimum, high - 1), high)
         out.append((start, end))
         start = _begin(text, end, start, overlap)
     out.append((start, n))
