@@ -277,16 +277,32 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p2_groups(spark, sf_dir: str) -> DataFrame:
-    """(chunk_id, group_id, links): every chunk with its group and the other texts near its own."""
+    """(chunk_id, group_id, links): every chunk with the least chunk_id of its group, and how many other
+    texts are near its own."""
     members, pairs = near_pairs(read(spark, sf_dir, "chunk_embeddings"))
     pairs = materialize(pairs, "pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     group = components(pairs, nodes).withColumnRenamed("node", "doc")
     degree = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).groupBy("doc").agg(F.count("*").alias("links"))
-    return members.join(group.join(degree, "doc"), "doc", "left").select("chunk_id", F.coalesce("component", "doc").alias("group_id"), F.coalesce("links", F.lit(0)).alias("links"))
-
-
+    rows = members.join(group.join(degree, "doc"), "doc", "left").select("chunk_id", F.coalesce("component", "doc").alias("c"), F.coalesce("links", F.lit(0)).alias("links"))
+    rows = materialize(rows, "groups")
+    least = rows.groupBy("c").agg(F.min("chunk_id").alias("group_id"))
+    return rows.join(least, "c").select("chunk_id", "group_id", "links")
+
+
+_TEXTS = """
+        with recursive d as (select chunk_id, any_value(chunk_text) t from chunk_embeddings where chunk_id is not null and chunk_text is not null group by chunk_id),
+        x as (select chunk_id, list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w from d),
+        m as (select chunk_id, array_to_string(w, ' ') k, w from x where len(w) >= 3), c as (select k, min(chunk_id) r, any_value(w) w from m group by 1),
+        s as (select distinct r, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] g from (select r, w, unnest(range(1, len(w) - 1)) i from c)),
+        n as (select r, count(*) n from s group by 1),
+        p as (select a.r x, b.r y, count(*) c from s a join s b on a.g = b.g and a.r <> b.r group by 1, 2),
+        e as (select x, y from p join n a on a.r = x join n b on b.r = y where c >= 0.5 * (a.n + b.n - c)),
+        reach(a, b) as (select r, r from c union select reach.a, e.y from reach join e on e.x = reach.b),
+        g as (select a r, min(b) group_id from reach group by 1), l as (select x r, count(*) links from e group by 1)"""
 ORACLE = {
+    "p2_groups": _TEXTS + """
+        select m.chunk_id, g.group_id, coalesce(l.links, 0) links from m join c using (k) join g using (r) left join l using (r)""",
     "p2_found": """
         with d as (select chunk_id, any_value(chunk_text) t from chunk_embeddings where chunk_id is not null and chunk_text is not null group by chunk_id),
         w as (select chunk_id, list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') w from d),

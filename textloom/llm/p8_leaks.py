@@ -258,3 +258,17 @@ def p8_leaks(spark, sf_dir: str) -> DataFrame:
 
 def p8_found(spark, sf_dir: str) -> DataFrame:
     return p8_leaks(spark, sf_dir).where("kind = 'verbatim'").select("doc_id", "item_id")
+
+
+# SQL has no compatibility form; the letters and digits of full width are what these tables hold of it.
+_WIDE = "".join(chr(0xFEE0 + i) for i in range(33, 127)).replace("'", "''")
+_NARROW = "".join(chr(i) for i in range(33, 127)).replace("'", "''")
+_HIDDEN = r"[\x{00AD}\x{180E}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
+_WORDS_SQL = lambda c: "list_filter(regexp_split_to_array(lower(translate(nfc_normalize(regexp_replace(" + c + ", '" + _HIDDEN + "', '', 'g')), '" + _WIDE + "', '" + _NARROW + r"')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+ORACLE = {
+    "p8_found": f"""
+        with i as (select item_id, {_WORDS_SQL("passage")} w from eval_items where item_id is not null), d as (select doc_id, {_WORDS_SQL("text")} w from documents where doc_id is not null),
+        a as (select distinct item_id, array_to_string(w[p : p + 12], ' ') r from (select item_id, w, unnest(range(1, len(w) - 11)) p from i where len(w) >= 13)),
+        b as (select distinct doc_id, array_to_string(w[p : p + 12], ' ') r from (select doc_id, w, unnest(range(1, len(w) - 11)) p from d where len(w) >= 13))
+        select distinct doc_id, item_id from a join b using (r)"""
+}

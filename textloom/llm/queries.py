@@ -24,4 +24,4 @@ QUERIES = {
     "p9_found": p9_residue.p9_found,
     "p9_residue": p9_residue.p9_residue,
 }
-ORACLE = p2_near.ORACLE | p4_conversations.ORACLE | p5_pieces.ORACLE | p6_neighbours.ORACLE
+ORACLE = p2_near.ORACLE | p4_conversations.ORACLE | p5_pieces.ORACLE | p6_neighbours.ORACLE | p8_leaks.ORACLE
