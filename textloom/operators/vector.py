@@ -28,60 +28,68 @@ def nearest_in_blocks(rows: DataFrame, queries: DataFrame, key: str, k: int, dim
     """(query, key, distance, rank): the ``k`` rows of least cosine distance for each query, exactly.
 
     ``rows`` (key, v) and ``queries`` (query, q) hold vectors of ``dim`` numbers; others are left out
-    before. Ties go to the lesser key. The queries, a stated set, are kept in blocks that every task
-    compares with its own rows by matrix products, and a task sends on ``k`` rows a query at most.
-    More than ``most_queries`` are refused: split them.
+    before. Ties go to the lesser key. The queries, a stated set, go to the tasks in sets of about
+    ``most_queries`` (one pass over the rows each), where they are compared in blocks by matrix products;
+    a task sends on ``k`` rows a query and those that tie with the last.
     """
+    from pyspark.sql import Window
+
+    sets = max(1, -(-queries.count() // most_queries))
+    out = None
+    for part in range(sets):
+        own = queries if sets == 1 else queries.where(F.pmod(F.xxhash64("query"), F.lit(sets)) == part)
+        near = _nearest(rows, own, key, k, dim, block)
+        out = near if out is None else out.unionByName(near)
+    w = Window.partitionBy("query").orderBy("distance", key)
+    return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _ties(d, k: int) -> int:
+    """How many entries beyond the ``k`` least of a row tie with the last of them, at most."""
+    import numpy as np
+
+    if d.shape[1] <= k:
+        return 0
+    edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
+    return int((d <= edge).sum(axis=1).max()) - k
+
+
+def _nearest(rows: DataFrame, queries: DataFrame, key: str, k: int, dim: int, block: int) -> DataFrame:
     import numpy as np
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    held = queries.select("query", F.col("q").cast("array<double>").alias("q")).limit(most_queries + 1).collect()
-    if len(held) > most_queries:
-        raise ValueError(f"more than {most_queries} queries; split them")
+    held = queries.select("query", F.col("q").cast("array<double>").alias("q")).collect()  # one set
     kinds = dict(rows.dtypes) | {"query": dict(queries.dtypes)["query"]}
     schema = f"query {kinds['query']}, {key} {kinds[key]}, distance double"
+    if not held:
+        return rows.sparkSession.createDataFrame([], schema)
     held.sort(key=lambda r: r["query"])
-    from pyspark.sql.pandas.types import to_arrow_type
-
     types = {c: to_arrow_type(df.schema[c].dataType) for c, df in (("query", queries), (key, rows))}
     names = pa.array([r["query"] for r in held], types["query"])
     unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
-    shared = rows.sparkSession.sparkContext.broadcast(unit(np.array([r["q"] for r in held], dtype=np.float64).reshape(-1, dim))) if held else None
-    if shared is None:
-        return rows.sparkSession.createDataFrame([], schema + ", rank int")
+    shared = rows.sparkSession.sparkContext.broadcast(unit(np.array([r["q"] for r in held], dtype=np.float64).reshape(-1, dim)))
 
     def run(batches):
         q = shared.value
-        best: list = [(np.empty((min(block, len(q) - at), 0)), np.empty((min(block, len(q) - at), 0), dtype=np.int64)) for at in range(0, len(q), block)]
+        best = [(np.empty((min(block, len(q) - at), 0)), np.empty((min(block, len(q) - at), 0), dtype=np.int64)) for at in range(0, len(q), block)]
         keys: list = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            order = np.argsort(np.array(batch.column(0).to_pylist()), kind="stable")
-            x = unit(flat)[order]
+            own = batch.column(0).to_pylist()
+            x = unit(batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim))
             base = len(keys)
-            keys += [batch.column(0)[i].as_py() for i in order.tolist()]
+            keys += own
             for j, at in enumerate(range(0, len(q), block)):
                 far = np.round(1.0 - q[at : at + block] @ x.T, 6) + 0.0  # no negative zero
                 d = np.concatenate([best[j][0], far], axis=1)
                 i = np.concatenate([best[j][1], np.broadcast_to(np.arange(base, base + len(x)), far.shape)], axis=1)
-                keep = np.argsort(d, axis=1, kind="stable")[:, : k + len_ties(d, k)]
+                keep = np.argsort(d, axis=1, kind="stable")[:, : k + _ties(d, k)]
                 best[j] = (np.take_along_axis(d, keep, axis=1), np.take_along_axis(i, keep, axis=1))
         for j, (d, i) in enumerate(best):
             if d.shape[1]:
                 at = np.repeat(np.arange(j * block, j * block + len(d)), d.shape[1])
                 yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array([keys[a] for a in i.ravel().tolist()], types[key]), pa.array(d.ravel())], ["query", key, "distance"])
 
-    def len_ties(d, k):
-        # Rows that tie with the last one kept go on too; the final ranking decides by key.
-        if d.shape[1] <= k:
-            return 0
-        edge = np.partition(d, k - 1, axis=1)[:, k - 1 : k]
-        return int((d <= edge).sum(axis=1).max()) - k
-
-    from pyspark.sql import Window
-
-    near = rows.select(key, F.col("v").cast("array<double>")).mapInArrow(run, schema)
-    w = Window.partitionBy("query").orderBy("distance", key)
-    return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return rows.select(key, F.col("v").cast("array<double>")).mapInArrow(run, schema)
