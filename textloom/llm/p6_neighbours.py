@@ -31,7 +31,7 @@ VISITORS = 6
 PROBES, BEAM = 4, 20
 #: For the k nearest at any similarity, which are far apart: more shards, by the root of their number
 #: (see ``wide_probes``), and a wider beam.
-WIDE_PROBES, WIDE_PER_ROOT, WIDE_BEAM = 8, 2.0, 128
+WIDE_PROBES, WIDE_PER_ROOT, WIDE_BEAM = 8, 2.0, 256
 EVERY = 20
 
 
