@@ -251,6 +251,36 @@ def test_p4_merges_overlapping_exports(spark):
     assert P4.merged(df.limit(0)).count() == 0
 
 
+def mixed(spark):
+    """A table of sessions of 6, 40, 22 and 21 messages; three at a time share a time."""
+    sizes = {"short": 6, "long": 40, None: 22, "odd": 21}
+    return chat(spark, [(i * 100 + j, s, ["user", "assistant"][j % 2], "text", T0 + timedelta(seconds=j // 3)) for i, (s, n) in enumerate(sizes.items()) for j in range(n)])
+
+
+def test_p4_found_rests_on_the_overlap_graph(spark, monkeypatch):
+    df = mixed(spark)
+    assert {r["session_id"]: r["sound"] for r in P4.sessions(df).collect()} == {"short": True, "long": True, None: True, "odd": False}
+    # Without the edges each export is a path of its own.
+    real = P4.overlaps
+    monkeypatch.setattr(P4, "overlaps", lambda rows: real(rows).where("whole"))
+    assert {r["session_id"]: r["sound"] for r in P4.sessions(df).collect()} == {"short": True, "long": False, None: False, "odd": False}
+    assert {r["session_id"] for r in P4.conversations(df).collect()} == {"short"}
+
+
+def test_p4_judges_exports_in_any_order(spark):
+    def sound(exports):
+        return {r["session_id"]: r["sound"] for r in P4.judged(P4.assembled(exports)).collect()}
+
+    cuts = P4.fragments(P4.messages(mixed(spark))).withColumn("fragment", F.xxhash64("fragment")).orderBy(F.xxhash64("id", "place"))
+    assert sound(cuts) == {"short": True, "long": True, None: True, "odd": False}
+    # One export lost leaves a gap.
+    gone = cuts.where("session_id = 'long' and id = 120 and place = 0").select("fragment")
+    assert gone.count() == 1 and sound(cuts.join(gone, "fragment", "left_anti")) == {"short": True, "long": False, None: True, "odd": False}
+    # A ring has no beginning.
+    ring = [("r1", 0, "ring", 1, 11, 0), ("r1", 1, "ring", 2, 12, 1), ("r2", 0, "ring", 2, 12, 1), ("r2", 1, "ring", 1, 11, 0)]
+    assert sound(spark.createDataFrame(ring, "fragment string, place long, session_id string, id long, h long, kind int")) == {"ring": False}
+
+
 def test_p5_properties_and_stability(spark):
     rng = random.Random(4)
     for _ in range(60):
