@@ -2,7 +2,10 @@
 
 import json
 import random
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -250,6 +253,41 @@ def test_percentile_and_search(spark):
     assert {tuple(r) for r in nearest_in_blocks(vecs, every, "k", 4, 2, most_queries=7).collect()} == {tuple(r) for r in nearest_in_blocks(vecs, every, "k", 4, 2).collect()}
 
 
+def test_search_holds_little_and_sends_k_rows(spark, monkeypatch):
+    """The mapper of an exact search: its memory does not follow queries by rows, nor what it sends the ties."""
+    ran = []
+    vecs = spark.createDataFrame([(i, [float(x) for x in np.random.default_rng(i).normal(size=4)]) for i in range(3000)], "k int, v array<double>")
+    monkeypatch.setattr(type(vecs), "mapInArrow", lambda df, run, schema: ran.append(run) or spark.createDataFrame([], schema))
+
+    def mapped(x, sizes):
+        assert nearest_in_blocks(vecs, vecs.select(F.col("k").alias("query"), F.col("v").alias("q")), "k", 5, 4).count() == 0
+        ends = np.cumsum([0, *sizes])
+        batches = [pa.RecordBatch.from_arrays([pa.array(range(a, b), pa.int32()), pa.array(list(x[a:b]))], ["k", "v"]) for a, b in zip(ends, ends[1:])]
+        tracemalloc.start()
+        out = [b for b in ran[-1](iter(batches)) if b.num_rows]
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return pa.Table.from_batches(out).to_pandas(), most
+
+    q = np.array([np.random.default_rng(i).normal(size=4) for i in range(3000)])
+    x = np.random.default_rng(9).normal(size=(5001, 4))
+    got, most = mapped(x, [5000, 0, 1])
+    assert most < 60e6  # the distances of all pairs are 120 MB
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    far = np.round(1 - unit(q) @ unit(x).T, 6) + 0.0
+    want = np.argsort(far, axis=1, kind="stable")[:, :5]
+    assert len(got) == 15000 and got.sort_values(["query", "distance", "k"])["k"].tolist() == want.ravel().tolist()
+    got, _ = mapped(np.ones((600, 4)), [300, 300])
+    assert sorted(zip(got["query"], got["k"])) == [(i, j) for i in range(3000) for j in range(5)]
+    ran.clear()
+    monkeypatch.setattr("textloom.operators.vector._TILE", 64)
+    few = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0])], "query int, q array<double>")
+    assert nearest_in_blocks(vecs, few, "k", 5, 4, block=1).count() == 0
+    parts = [pa.RecordBatch.from_arrays([pa.array(range(a, a + 3), pa.int32()), pa.array(list(x[a : a + 3]))], ["k", "v"]) for a in range(0, 900, 3)]
+    near = np.round(1 - unit(x[:900])[:, 0], 6) + 0.0  # keys that are no longer asked for are dropped many times here
+    assert pa.Table.from_batches(ran[-1](iter(parts)))["k"].to_pylist() == np.argsort(near, kind="stable")[:5].tolist()
+
+
 def test_services_mark_what_fails(spark):
     df = spark.createDataFrame([(1, "a"), (2, None), (3, "bad"), (4, "c")], "id int, prompt string")
 
